@@ -1,7 +1,7 @@
 """Hashed indicator features shared by the two linear text classifiers, and their scoring pass.
 
 A text's features are the set of hashed n-grams that occur in it: indicators, so a repeated line counts once. Kinds:
-``bytes`` 2- to 4-grams; ``words`` lower-cased words stripped of outer punctuation, and pairs of them; ``shapes`` 1- to 3-grams of word
+``bytes`` 2- to 4-grams; ``words`` lower-cased words stripped of outer punctuation, their beginnings of 4, 5, 6 and 8 bytes, and pairs of them; ``shapes`` 1- to 3-grams of word
 shapes (letter case, length class, trailing sign, whether the word repeats the one before)."""
 
 from __future__ import annotations
@@ -56,6 +56,10 @@ def features(b: np.ndarray, off: np.ndarray, kinds: tuple[str, ...]) -> list[tup
         h = span_hashes(b, first[ok], last[ok], lower=True)
         r = row[ok]
         out.append((r, _bucket(h)))
+        f, z = first[ok], last[ok]
+        for k in (4, 5, 6, 8):
+            long_ = z - f > k
+            out.append((r[long_], _bucket(span_hashes(b, f[long_], f[long_] + k, lower=True) + np.uint64(k))))
         same = r[1:] == r[:-1]
         out.append((r[1:][same], _bucket(h[:-1][same] * np.uint64(3) + mix(h[1:][same]))))
     if "shapes" in kinds:

@@ -116,15 +116,12 @@ def shingles(b: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
         acc = mix(acc * np.uint64(31) + h[i : i + max(k, 0)] + np.uint64(i + 1))
     ok = row[: max(k, 0)] == row[n - 1 :] if k > 0 else np.zeros(0, bool)
     hs, rs = acc[ok], row[: max(k, 0)][ok]
-    short = np.flatnonzero((count > 0) & (count < n))
-    if len(short):
-        extra = []
-        for r in short:
-            a = np.uint64(0)
-            for x in h[first[r] : first[r + 1]]:
-                a = mix(np.array([a * np.uint64(31) + x + np.uint64(count[r] + 1000)], np.uint64))[0]
-            extra.append(a)
-        hs, rs = np.concatenate([hs, np.array(extra, np.uint64)]), np.concatenate([rs, short])
+    for k in range(1, n):  # whole sequences of texts with fewer words
+        r = np.flatnonzero(count == k)
+        a = np.zeros(len(r), np.uint64)
+        for i in range(k):
+            a = mix(a * np.uint64(31) + h[first[r] + i] + np.uint64(k + 1000))
+        hs, rs = np.concatenate([hs, a]), np.concatenate([rs, r])
     o = np.lexsort((hs, rs))
     hs, rs = hs[o], rs[o]
     new = np.ones(len(hs), bool)

@@ -41,7 +41,7 @@ def feature_scale(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     return np.where(p > 0, np.clip(lp - 1.5 * doubt, 0.0, 3.0), 0.0)
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, scale: np.ndarray, epochs: int = 14, batch: int = 256, rate: float = 0.05, decay: float = 2e-4, seed: int = 0) -> tuple[np.ndarray, float]:
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, scale: np.ndarray, epochs: int = 80, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, float]:
     """One classifier: weights over buckets (times the scale) and bias."""
     g = np.random.default_rng(seed)
     active = np.flatnonzero(scale > 0)
