@@ -102,7 +102,18 @@ def span_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool
 
 def shingles(b: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct n-word shingle hashes of every row, lower-casing A-Z: (flat hashes, offsets). A text with fewer
-    words has its whole sequence as one shingle, one without words has none."""
+    words has its whole sequence as one shingle, one without words has none. Works through the rows in chunks."""
+    hs, counts = [], []
+    for i, j in chunks(off, 1 << 19):
+        h, o = _shingles(b[off[i] : off[j]], off[i : j + 1] - off[i], n)
+        hs.append(h)
+        counts.append(np.diff(o))
+    if not hs:
+        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    return np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int64)
+
+
+def _shingles(b: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     s, e, row = words(b, off)
     rows = len(off) - 1
     if not len(s):
