@@ -2,7 +2,7 @@
 
 A text is cut into the pieces that byte-level BPE merges within (letters, digits, other signs, white space, with their
 leading space; English contractions). The cut is made by numpy over whole batches for ASCII and two-byte Latin text;
-texts with anything else go through the library whole. Each distinct piece is encoded by the library and remembered in
+texts with anything else go through the library whole. Each distinct piece is merged by the library's model and remembered in
 a bounded table, so ids are the library's own. Special-token strings: a text that contains one goes whole, too, and
 gets what the library gives by default."""
 
@@ -37,6 +37,16 @@ _ODD[0xC0:0xC3] = True
 _ODD[0xCA:] = True
 
 
+def _alphabet() -> dict[int, str]:
+    """The character that byte-level BPE writes for each byte: itself where printable, else one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [x for x in range(256) if x not in plain]
+    return {x: chr(x) for x in plain} | {x: chr(256 + i) for i, x in enumerate(rest)}
+
+
+_ALPHABET = _alphabet()
+
+
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -177,9 +187,10 @@ class Encoder:
         if len(miss):
             new, first = np.unique(h[miss], return_index=True)
             spans = miss[first]
-            got = [e.ids for e in self.tok.encode_batch([raw[st[k] : en[k]].decode() for k in spans], add_special_tokens=False)]
+            merge = self.tok.model.tokenize  # the library's merges alone: the piece is already cut
+            got = [merge(raw[st[k] : en[k]].decode("latin-1").translate(_ALPHABET)) for k in spans]
             n = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.fromiter((x for g in got for x in g), np.uint32, int(n.sum()))
+            ids = np.fromiter((x.id for g in got for x in g), np.uint32, int(n.sum()))
             while self.end + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
             self.flat[self.end : self.end + len(ids)] = ids

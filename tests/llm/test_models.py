@@ -78,7 +78,7 @@ def test_pooling_covers_every_byte():
 
 def test_op1(tables):
     d, _, docs, _ = tables
-    out = langid.op1(d, per_lang=200, epochs=10).collect()
+    out = langid.op1(d, per_lang=400, epochs=15).collect()
     assert len(out) == len(docs)
     by = {r.doc_id: r for r in out}
     assert all(by[i].lang_pred == "und" and by[i].score == 0 for i in (400, 401, 402))
