@@ -3,7 +3,7 @@
 The lengths' histogram (at most ``capacity`` rows) is all the driver sees. Columns of the program are configurations
 (multisets of lengths that fit one bin); multiplicative weights over the lengths price them, a knapsack dynamic program
 finds the best one, and its share grows until its scarcest length is half covered. The fractional solution is rounded
-down, and what is left of the histogram is packed best-fit by length classes. The plan is a list of (configuration,
+down, keeping the leading share of it that gives the fewest bins, and what is left of the histogram is packed best-fit by length classes. The plan is a list of (configuration,
 multiplicity), so its size depends on the number of lengths, not of documents.
 
 Rows find their place without moving by length: each task numbers its own pieces of a length, a prefix sum over
@@ -55,14 +55,16 @@ def solve_lp(demand: np.ndarray, capacity: int, rounds: int = 160, step: float =
     """Fractional configurations by multiplicative weights; no length is covered beyond its demand."""
     need = demand.astype(float)
     cover = np.zeros(len(demand))
-    size = np.arange(len(demand)) / capacity
+    at = np.arange(len(demand))
+    # starting duals: a length of which m fit one bin is worth 1/m of it, and fuller bins win among equals
+    worth = np.where(at > 0, 1.0 / np.maximum(capacity // np.maximum(at, 1), 1), 0.0) + 0.25 * at / capacity
     out: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
         open_ = need > cover + 1e-9
         if not open_.any():
             break
         weight = np.exp(-np.where(open_, cover / np.maximum(need, 1), 0))
-        c = price(np.where(open_, size * (0.9 + 0.1 * weight), 0.0), capacity)
+        c = price(np.where(open_, worth * (0.95 + 0.05 * weight), 0.0), capacity)
         if not c:
             break
         k = np.bincount(c, minlength=len(demand))
@@ -108,14 +110,23 @@ def plan(demand: np.ndarray, capacity: int = CAPACITY) -> Plan:
     if left[capacity]:
         out.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    for c, x in solve_lp(left, capacity):
-        k = np.bincount(c, minlength=len(left))
-        used = np.flatnonzero(k)
-        m = min(int(x + 1e-6), int((left[used] // k[used]).min()))
-        if m:
-            out.append((c, m))
-            left -= k * m
-    return out + best_fit(left, capacity)
+    fractional = [(c, int(x + 1e-6)) for c, x in solve_lp(left, capacity)]
+    fractional = [(c, m) for c, m in fractional if m]
+    # rounding: of the whole configurations, the leading share that leaves the fewest bins in all
+    best: Plan | None = None
+    for share in (1.0, 0.5, 0.25, 0.1, 0.03, 0.0):
+        rest, kept = left.copy(), []
+        for c, m in fractional[: max(1, int(len(fractional) * share))]:
+            k = np.bincount(c, minlength=len(left))
+            used = np.flatnonzero(k)
+            m = min(m, int((rest[used] // k[used]).min()))
+            if m:
+                kept.append((c, m))
+                rest -= k * m
+        whole = kept + best_fit(rest, capacity)
+        if best is None or sum(m for _, m in whole) < sum(m for _, m in best):
+            best = whole
+    return out + (best or [])
 
 
 def slots(p: Plan) -> tuple[np.ndarray, ...]:
