@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from tessera.plans.queries import QUERIES  # noqa: E402
 
-NAMES = ("flagship_score", "features_vector", "knn_grid", "ivf_exact", "kmeans_build", "grid_quantize", "affine_quantize", "dist_l2", "confusion", "score_requests")
+NAMES = ("flagship_score", "features_vector", "knn_grid", "ivf_exact", "grid_quantize", "affine_quantize", "confusion")
 
 
 def main() -> None:
