@@ -40,17 +40,14 @@ def _ranks(seed: int) -> np.ndarray:
     return _tables[seed]
 
 
-def signatures(h: np.ndarray, off: np.ndarray, seed: int = 11, block: int = 2048) -> np.ndarray:
+def signatures(h: np.ndarray, off: np.ndarray, seed: int = 11, block: int = 256) -> np.ndarray:
     """(rows, K) circulant MinHash values of shingle hashes; rows without shingles hold the maximum."""
     t = _ranks(seed)
     first = ((h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) >> np.uint64(44)).astype(np.int64)  # the first permutation, to 20 bits
     out = np.full((len(off) - 1, K), np.uint32(0xFFFFFFFF))
-    row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    for a in range(0, len(h), block):
-        r = row[a : a + block]
-        lead = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        m = np.minimum.reduceat(t[first[a : a + block]], lead, axis=0)
-        out[r[lead]] = np.minimum(out[r[lead]], m)
+    for r in range(len(off) - 1):
+        for a in range(off[r], off[r + 1], block):  # blocks that stay in the processor's cache
+            np.minimum(out[r], t[first[a : min(a + block, off[r + 1])]].min(axis=0), out=out[r])
     return out
 
 
