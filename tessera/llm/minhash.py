@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
             part = rest.groupBy("bh", "component").agg(F.count(F.lit(1)).alias("c"))
             main = part.groupBy("bh").agg(F.max(F.struct("c", "component")).alias("m"))
             main = main.select(F.col("bh").alias("b"), F.col("m.component").alias("main"))
-            rest = rest.join(main, rest.bh == main.b)
+            rest = stored(rest.join(main, rest.bh == main.b).drop("b"), "open")
             few, big = rest.where(F.col("size") <= large), rest.where(F.col("size") > large)
             o = few.where("component <> main").select(F.col("bh").alias("bo"), F.col("id").alias("io"), F.col("n").alias("no"), F.col("component").alias("co"))
             new = few.join(o, (few.bh == o.bo) & (F.col("component") != F.col("co")) & (100 * F.least("n", "no") >= percent * F.greatest("n", "no")))
