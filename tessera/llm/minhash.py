@@ -29,6 +29,7 @@ from tessera.session import stored
 
 BANDS, ROWS, UNIVERSE = 64, 8, 1 << 20
 K = BANDS * ROWS
+WORDS = 8
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -60,8 +61,23 @@ def band_values(sig: np.ndarray) -> np.ndarray:
     return acc
 
 
+def occupancy(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """(rows, WORDS) 64-bit words: which of 64 * WORDS cells a set's shingles fall in. A cell that only one of two sets
+    occupies holds a shingle of that set alone, so these words bound an intersection from above."""
+    cells = np.zeros((len(off) - 1, 64 * WORDS), np.uint8)
+    cells[np.repeat(np.arange(len(off) - 1), np.diff(off)), (mix(h ^ np.uint64(5)) % np.uint64(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(cells, axis=1).view(np.int64)
+
+
+def may_link(n, bits, m, other, percent: int):
+    """Column: false only where sizes and occupancies prove that two sets are below the similarity."""
+    alone = lambda a, b: sum((F.bit_count(a[i].bitwiseAND(F.bitwise_not(b[i]))) for i in range(WORDS)), F.lit(0))
+    both = F.least(n - alone(bits, other), m - alone(other, bits))
+    return 100 * both >= percent * (n + m - both)
+
+
 def profile(docs: DataFrame, words: int = 2, seed: int = 11) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (a 128-bit digest of the set) and bands (64 values; empty without shingles)."""
+    """doc_id, n_shingles, s1 and s2 (a 128-bit digest of the set) bits (occupancy) and bands (64 values; empty without shingles)."""
 
     def run(batches):
         for b in batches:
@@ -73,9 +89,10 @@ def profile(docs: DataFrame, words: int = 2, seed: int = 11) -> DataFrame:
                 bands = band_values(signatures(h, o, seed)).view(np.int64)
                 some = n > 0
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), pa.array(bands[some].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array((c1[o[1:]] - c1[o[:-1]]).view(np.int64)), pa.array((c2[o[1:]] - c2[o[:-1]]).view(np.int64)), lists], ["doc_id", "n_shingles", "s1", "s2", "bands"])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * WORDS), pa.array(occupancy(h, o).ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array((c1[o[1:]] - c1[o[:-1]]).view(np.int64)), pa.array((c2[o[1:]] - c2[o[:-1]]).view(np.int64)), bits, lists], ["doc_id", "n_shingles", "s1", "s2", "bits", "bands"])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>")
+    return text_only(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bits array<long>, bands array<long>")
 
 
 def _overlaps(big: np.ndarray, h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -122,10 +139,14 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80
 
 
 def block_pairs(members: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80, block: int = 256) -> DataFrame:
-    """All links across components within large buckets (bh, id, component, main), without emitting pairs. Every such
-    pair has a member outside the bucket's main component, so blocks of about ``block`` of those meet blocks of all
+    """All links across components within large buckets (bh, id, n, component, main), without emitting pairs. Every such
+    pair has a member outside the bucket's main component, so members too large or too small for any of those stay out, and blocks of about ``block`` of those meet blocks of all
     members; each two blocks are one group, and a sparse product over the shingles in both counts every intersection."""
-    size = members.groupBy("bh").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("component") != F.col("main")).alias("k"))
+    outside = F.col("component") != F.col("main")
+    span = members.where(outside).groupBy(F.col("bh").alias("s")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    fits = (F.col("bh") == F.col("s")) & (100 * F.col("n") >= percent * F.col("lo")) & (percent * F.col("n") <= 100 * F.col("hi"))
+    members = members.join(span, fits, "left_semi")
+    size = members.groupBy("bh").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("k"))
     size = size.select(F.col("bh").alias("b"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("k") / block).cast("int").alias("lanes"))
     m = members.join(size, members.bh == size.b)
     place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
@@ -210,13 +231,15 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
             main = main.select(F.col("bh").alias("b"), F.col("m.component").alias("main"))
             rest = stored(rest.join(main, rest.bh == main.b).drop("b"), "open")
             few, big = rest.where(F.col("size") <= large), rest.where(F.col("size") > large)
-            o = few.where("component <> main").select(F.col("bh").alias("bo"), F.col("id").alias("io"), F.col("n").alias("no"), F.col("component").alias("co"))
-            new = few.join(o, (few.bh == o.bo) & (F.col("component") != F.col("co")) & (100 * F.least("n", "no") >= percent * F.greatest("n", "no")))
+            cells = live.select(F.col("doc_id").alias("of"), "bits")
+            few = few.join(cells, few.id == cells.of)
+            o = few.where("component <> main").select(F.col("bh").alias("bo"), F.col("id").alias("io"), F.col("n").alias("no"), F.col("component").alias("co"), F.col("bits").alias("other"))
+            new = few.join(o, (few.bh == o.bo) & (F.col("component") != F.col("co")) & may_link(F.col("n"), F.col("bits"), F.col("no"), F.col("other"), percent))
             new = new.select(F.greatest("id", "io").alias("id"), F.least("id", "io").alias("hub"))
             new = stored(new.select("id", "hub").distinct().join(tried, ["id", "hub"], "left_anti"), "pairs")
             fresh = verify(new, texts, words, percent)
             if big.limit(1).count():
-                fresh = fresh.unionByName(block_pairs(big.select("bh", "id", "component", "main"), texts, words, percent))
+                fresh = fresh.unionByName(block_pairs(big.select("bh", "id", "n", "component", "main"), texts, words, percent))
             none = False
         if not none:
             star = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -225,7 +248,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
                 comp = stored(components(star.unionByName(fresh)), "components")
     cc = comp.select(F.col("id").alias("x"), "component")
     final = classes.join(cc, classes.rep == cc.x, "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("component", "rep").alias("component"))
-    p = prof.drop("bands")
+    p = prof.drop("bands", "bits")
     out = p.join(final, (p.s1 == final.c1) & (p.s2 == final.c2) & (p.n_shingles == final.cn), "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

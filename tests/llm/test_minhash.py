@@ -1,7 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import minhash
 
@@ -67,3 +69,19 @@ def test_stage_and_empty(spark):
     got = [r.doc_id for r in out.collect()]
     assert sorted(x for x in got if x is not None) == sorted(want) and got.count(None) == 1
     assert minhash.op8(df.where("false")).count() == 0
+
+
+def test_occupancy_bound_keeps_every_link(spark):
+    g = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([g.permutation(base)[: int(len(base) * keep)], g.integers(1, 1 << 62, extra, dtype=np.uint64)])) for base in (g.integers(1, 1 << 62, 60, dtype=np.uint64), g.integers(1, 1 << 62, 900, dtype=np.uint64)) for keep in (1.0, 0.95, 0.9, 0.8, 0.6) for extra in (0, 3, 9)]
+    off = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    bits = minhash.occupancy(np.concatenate(sets), off)
+    rows = [(i, j, len(sets[i]), len(sets[j]), bits[i].tolist(), bits[j].tolist()) for i in range(len(sets)) for j in range(i)]
+    df = spark.createDataFrame(rows, "i int, j int, n long, m long, a array<long>, b array<long>")
+    kept = {(r.i, r.j) for r in df.where(minhash.may_link(F.col("n"), F.col("a"), F.col("m"), F.col("b"), 80)).collect()}
+    links = set()
+    for i, j, n, m, _, _ in rows:
+        both = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * both >= 80 * (n + m - both):
+            links.add((i, j))
+    assert links and links <= kept and len(kept) < len(rows) / 2
