@@ -145,7 +145,7 @@ def block_pairs(members: DataFrame, texts: DataFrame, words: int = 2, percent: i
     outside = F.col("component") != F.col("main")
     span = members.where(outside).groupBy(F.col("bh").alias("s")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     fits = (F.col("bh") == F.col("s")) & (100 * F.col("n") >= percent * F.col("lo")) & (percent * F.col("n") <= 100 * F.col("hi"))
-    members = members.join(span, fits, "left_semi")
+    members = stored(members.join(span, fits, "left_semi"), "blocks")
     size = members.groupBy("bh").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("k"))
     size = size.select(F.col("bh").alias("b"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("k") / block).cast("int").alias("lanes"))
     m = members.join(size, members.bh == size.b)
