@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic learnable rows are the positives; the unlabelled set is a bounded draw from all learnable documents,
-whatever their label. With the class prior p, the risk p*E_pos[l(z)] + max(0, E_unl[l(-z)] - p*E_pos[l(-z)]) is minimised
+Confirmed toxic learnable rows are the positives; the unlabelled set is a bounded draw from the learnable documents that
+``labels`` names, whatever their label, because the class prior below is that population's and not the corpus's. With the class prior p, the risk p*E_pos[l(z)] + max(0, E_unl[l(-z)] - p*E_pos[l(-z)]) is minimised
 by Adam over hashed word indicators; where the corrected negative part of a batch falls below zero, its gradient is
 turned round, so that the model can't explain positives away among the unlabelled. Several classifiers with different
 seeds are averaged. The prior is the toxic share among learnable labelled rows.
@@ -41,7 +41,7 @@ def feature_scale(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     return np.where(p > 0, np.clip(lp - 1.5 * doubt, 0.0, 3.0), 0.0)
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, scale: np.ndarray, epochs: int = 80, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, float]:
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, scale: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, float]:
     """One classifier: weights over buckets (times the scale) and bias."""
     g = np.random.default_rng(seed)
     active = np.flatnonzero(scale > 0)
@@ -87,8 +87,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 3000, un
     """Adds score to ``docs``; bounds: ``positives`` confirmed rows, ``unlabelled`` documents."""
     known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).agg(F.avg((F.col("toxic") == 1).cast("double"))).collect()[0][0]
     pos = label_sample(labels, "toxic", positives, seed, F.col("y") == 1)
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(learnable(F.col("doc_id")))
-    unl = [r.doc_id for r in bounded_texts(slim, unlabelled, seed + 1).collect()]
+    named = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    unl = [r.doc_id for r in bounded_texts(named, unlabelled, seed + 1).collect()]
     got = training_rows(docs, sorted({d for d, _ in pos} | set(unl)), KINDS)
     p, u = [got[d] for d, _ in pos if d in got], [got[d] for d in unl if d in got]
     if not p or not u:
