@@ -127,6 +127,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, query_block: i
     top = rows.orderBy(F.desc("norm2"), "vec_id").select("vec_id", "v").limit(longest).toArrow()
     tid, tv = top.column(0).to_numpy(), matrix(top.column(1), dim)
     ranged = rows.select("vec_id", "v", "norm2").repartitionByRange(max(1, -(-facts.n // part_rows)), F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id").select("vec_id", "v")
+    ranged = stored(ranged, "vectors-by-length")  # every block of queries reads it: one range shuffle in all
     out = None
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v")
     for qid, q in _blocks(queries, dim, query_block):
