@@ -2,8 +2,8 @@
 
 The lexer reads name-literal pairs (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``<name>`` style keys are plain names),
 follows constants through names and ``+`` concatenations, and scores every literal by how sensitive its target's name is
-and how much the value looks like a secret. Literals above the threshold are spans of kind ``literal``, unless a base span
-covers them.
+and how much the value looks like a secret. Literals above the threshold are spans of kind ``literal``, unless one base span
+covers them whole; otherwise the two may overlap.
 
 Spans count code points, ends exclusive, and are ordered by start, then kind as listed in KINDS. Edge cases: null and
 empty texts have no spans and the digest of the empty string; letters match ASCII only."""
@@ -121,7 +121,7 @@ def scan(b: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int, int]]
         t = raw[off[r] : off[r + 1]]
         if b"=" in t or b":" in t:
             base = sorted((a, z) for a, _, z, _ in out[r])
-            out[r] += [(a, 3, z, a) for a, z in literals(t) if not any(x < z and a < y for x, y in base)]
+            out[r] += [(a, 3, z, a) for a, z in literals(t) if not any(x <= a and z <= y for x, y in base)]
     return [sorted(x) for x in out]
 
 

@@ -115,6 +115,16 @@ def test_redaction(spark):
     assert (out[2].text, out[3].text, out[4].text) == ("clean", None, "[SECRET] [SECRET]")
 
 
+@pytest.mark.parametrize("c", list("&!@#$%^*"))
+def test_special_characters_in_quoted_secrets(spark, c):
+    rows = [(1, f'password = "Tr0ub4dor{c}3xyz" rest', "a"), (2, 'password = "Tr0ub4dor3xyz"', "a")]
+    found = {x.doc_id: x for x in secrets.op6(make(spark, rows)).collect()}
+    assert found[1].spans == "assign:0:21,literal:12:26" and found[1].n_literal == 1
+    assert found[2].spans == "assign:0:25" and found[2].n_literal == 0
+    out = {x.doc_id: x.text for x in secrets.stage(make(spark, rows)).collect()}
+    assert out == {1: 'password = "[SECRET]" rest', 2: 'password = "[SECRET]"'}
+
+
 # --- mixing
 
 
