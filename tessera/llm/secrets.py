@@ -25,15 +25,20 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _STEMS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX = np.zeros(256, bool)
 _HEX[48:58] = _HEX[97:103] = True
+_OTHER = np.ones(256, bool)
+_OTHER[48:58] = _OTHER[65:91] = _OTHER[97:123] = False
 
 # sensitive and harmless parts of names, with weights
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "bearer": 2, "private": 2, "auth": 2, "authorization": 2, "access": 1, "api": 1, "key": 1, "client": 1, "signing": 1, "encryption": 2}
 HARMLESS = {"hash": 2, "length": 3, "count": 3, "name": 2, "url": 2, "path": 3, "file": 3, "public": 3, "id": 1, "type": 2, "size": 3, "field": 2, "label": 3, "prompt": 3, "header": 2}
 _HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"private", b"encryption")
-_NAME = rb"[A-Za-z_][A-Za-z0-9_.-]{0,80}"
-_TERM = rb"""(?:"(?:[^"\\\n]|\\.){0,400}"|'(?:[^'\\\n]|\\.){0,400}'|[A-Za-z0-9+/_.=$-]{1,400})"""
-PAIR = re.compile(rb"""(["']?)(""" + _NAME + rb""")\1[ \t]{0,8}(?::=|=>|=(?!=)|:(?!:))[ \t]{0,8}(""" + _TERM + rb"""(?:[ \t]{0,8}\+[ \t]{0,8}""" + _TERM + rb""")*)""")
+# possessive repeats: nothing is bounded in length, and nothing is read twice from one start
+_NAME = rb"[A-Za-z_][A-Za-z0-9_.-]*+"
+_TERM = rb"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9+/_.=$-]++)"""
+# a name starts at a quote or at the first letter of its run of name characters
+PAIR = re.compile(rb"""(?:(?<![A-Za-z0-9_.-])[0-9.-]*+|(["']))(""" + _NAME + rb""")(?(1)\1)[ \t]*+(?::=|=>|=(?!=)|:(?!:))[ \t]*+(""" + _TERM + rb"""(?:[ \t]*+\+[ \t]*+""" + _TERM + rb""")*+)""")
 TERM = re.compile(_TERM)
+HEAD = 64
 IDENT = re.compile(_NAME + rb"\Z")
 PLACEHOLDER = re.compile(rb"(?i)^(?:x+|\*+|\.+|change.?me|example.*|your[_-].*|placeholder|none|null|true|false|todo|test|dummy|<.*>|\$.*)$")
 
@@ -43,23 +48,45 @@ def name_score(name: str) -> int:
     return sum(SENSITIVE.get(p, 0) for p in parts) - sum(HARMLESS.get(p, 0) for p in parts)
 
 
-def value_score(value: bytes) -> float:
-    """Length, entropy and mix of characters; negative for placeholders and prose."""
-    if len(value) < 6 or b" " in value or PLACEHOLDER.match(value):
-        return -9.0
-    p = np.bincount(np.frombuffer(value, np.uint8))
-    p = p[p > 0] / len(value)
-    h = float(-(p * np.log2(p)).sum())
-    kinds = sum(bool(re.search(c, value)) for c in (rb"[a-z]", rb"[A-Z]", rb"[0-9]", rb"[^A-Za-z0-9]"))
-    return (len(value) >= 8) + (h >= 2.5) + (h >= 3.2) + (kinds >= 2) - (kinds == 1 and h < 3.2)
+class Value:
+    """The joined text of spans and earlier values as its score sees it: bytes by count, first bytes, last byte. Joining
+    costs the same however long the parts are."""
+
+    __slots__ = ("parts", "count", "head", "last", "found")
+
+    def __init__(self, raw: bytes, parts: list):
+        self.parts, self.found = parts, False
+        self.count, self.head, self.last = np.zeros(256), b"", b""
+        for p in parts:
+            if isinstance(p, Value):
+                count, head, last = p.count, p.head, p.last
+            else:
+                t = raw[p[0] : p[1]]
+                count, head, last = np.bincount(np.frombuffer(t, np.uint8), minlength=256), t[:HEAD], t[-1:]
+            self.count = self.count + count
+            self.head, self.last = (self.head + head)[:HEAD], last or self.last
+        if self.count.sum() > 2.0**60:  # a value joined to itself over and over; only shares count by then
+            self.count /= 2.0**40
+
+    def score(self) -> float:
+        """Length, entropy and mix of characters; negative for placeholders and prose."""
+        n, c = float(self.count.sum()), self.count
+        # of a longer text the first bytes, one of each byte and the last one match a placeholder if the whole does
+        shown = self.head if n <= HEAD else self.head + np.flatnonzero(c).astype(np.uint8).tobytes() + self.last
+        if n < 6 or c[32] or PLACEHOLDER.match(shown):
+            return -9.0
+        p = c[c > 0] / n
+        h = float(-(p * np.log2(p)).sum())
+        kinds = int(c[97:123].any()) + int(c[65:91].any()) + int(c[48:58].any()) + int(c[_OTHER].any())
+        return (n >= 8) + (h >= 2.5) + (h >= 3.2) + (kinds >= 2) - (kinds == 1 and h < 3.2)
 
 
 def literals(raw: bytes, threshold: float = 4.5) -> list[tuple[int, int]]:
     """Byte spans of secret literals by their assignment targets; a constant counts for every name it reaches."""
-    known: dict[bytes, list[tuple[int, int]]] = {}
+    known: dict[bytes, tuple[int, int] | Value] = {}
     found: set[tuple[int, int]] = set()
     for m in PAIR.finditer(raw):
-        places: list[tuple[int, int]] = []
+        places: list[tuple[int, int] | Value] = []
         for t in TERM.finditer(raw, m.start(3), m.end(3)):
             a, z = t.span()
             if t[0] == b"+":
@@ -67,16 +94,25 @@ def literals(raw: bytes, threshold: float = 4.5) -> list[tuple[int, int]]:
             if raw[a : a + 1] in (b'"', b"'"):
                 places.append((a + 1, z - 1))
             elif IDENT.match(t[0]) and t[0] in known:
-                places += known[t[0]]
+                places.append(known[t[0]])
             else:
                 places.append((a, z))
-        known[m[2]] = places[:16]
+        known[m[2]] = value = places[0] if len(places) == 1 else Value(raw, places)
         score = name_score(m[2].decode("ascii"))
         if score < 2:
             continue
-        value = b"".join(raw[a:z] for a, z in places)
-        if score + value_score(value) >= threshold + 1:
-            found.update(p for p in places if p[1] > p[0])
+        if not isinstance(value, Value):
+            value = Value(raw, [value])
+        if score + value.score() >= threshold + 1:
+            left = [value]
+            while left:
+                v = left.pop()
+                if isinstance(v, Value):
+                    if not v.found:
+                        v.found = True
+                        left += v.parts
+                elif v[1] > v[0]:
+                    found.add(v)
     return sorted(found)
 
 

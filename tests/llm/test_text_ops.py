@@ -125,6 +125,29 @@ def test_special_characters_in_quoted_secrets(spark, c):
     assert out == {1: 'password = "[SECRET]" rest', 2: 'password = "[SECRET]"'}
 
 
+def test_no_literal_is_cut():
+    r = random.Random(6)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(2000))
+    parts = [key[i : i + 50] for i in range(0, 2000, 50)]
+    found = lambda t: [t[a:z] for a, z in secrets.literals(t.encode())]
+    for text in (f'{{"privateKey": "{key}"}}', f"credentials = '{key}'", f"credentials = {key}", f"credentials{' ' * 300}={' ' * 300}{key}", f"{'a' * 300}_pwd = {key}"):
+        assert found(text) == [key], text[:40]
+    assert found("db_credential = " + " + ".join(f'"{p}"' for p in parts)) == parts
+    chain = "part = ''\n" + "".join(f"part = part + '{p}'\n" for p in parts) + "db_credential = part"
+    assert found(chain) == parts
+    assert found("pwd = " + "x" * 2000) == found("pwd = '<" + key + ">'") == found(f"pwd = 'your_{key}'") == []
+    assert found("a = 'Zk93hqLw'\n" + "a = a + a\n" * 3000 + "pwd = a") == ["Zk93hqLw"]
+
+
+def test_lexer_time_is_in_proportion():
+    import time
+
+    for text in ("a" * 400_000, "a " + " " * 400_000, '"' + "a" * 400_000, "0." * 200_000, "a='b=\"" * 60_000, "x=" + "\\" * 400_000, "token = token + 'abc'\n" * 20_000):
+        t0 = time.perf_counter()
+        secrets.literals(text.encode())
+        assert time.perf_counter() - t0 < 10, text[:20]
+
+
 # --- mixing
 
 
