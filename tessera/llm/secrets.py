@@ -31,7 +31,8 @@ _OTHER[48:58] = _OTHER[65:91] = _OTHER[97:123] = False
 # sensitive and harmless parts of names, with weights
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "credential": 3, "credentials": 3, "bearer": 2, "private": 2, "auth": 2, "authorization": 2, "access": 1, "api": 1, "key": 1, "client": 1, "signing": 1, "encryption": 2}
 HARMLESS = {"hash": 2, "length": 3, "count": 3, "name": 2, "url": 2, "path": 3, "file": 3, "public": 3, "id": 1, "type": 2, "size": 3, "field": 2, "label": 3, "prompt": 3, "header": 2}
-_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"credential", b"auth", b"bearer", b"private", b"encryption")
+# every name with a sensitive part holds one of these
+_HINTS = tuple(s.encode() for s in SENSITIVE if not any(o != s and o in s for o in SENSITIVE))
 # possessive repeats: nothing is bounded in length, and nothing is read twice from one start
 _NAME = rb"[A-Za-z_][A-Za-z0-9_.-]*+"
 _TERM = rb"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9+/_.=$-]++)"""

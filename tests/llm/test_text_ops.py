@@ -148,6 +148,16 @@ def test_lexer_time_is_in_proportion():
         assert time.perf_counter() - t0 < 10, text[:20]
 
 
+@pytest.mark.parametrize("name", ["client_access", "api_access", "accessSigning", "signing_client"])
+def test_names_without_a_common_word(spark, name):
+    rows = [(1, f'{name} = "Zk93hqLw8sQ"', "a"), (2, f'see pass and key, {name} = "Zk93hqLw8sQ"', "a")]
+    assert [x.n_literal for x in secrets.op6(make(spark, rows)).collect()] == [1, 1]
+
+
+def test_hints_reach_every_sensitive_part():
+    assert all(any(h in s.encode() for h in secrets._HINTS) for s in secrets.SENSITIVE)
+
+
 # --- mixing
 
 
