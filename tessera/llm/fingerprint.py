@@ -2,7 +2,8 @@
 
 Every 64-byte window has an entropy; windows are ranked by how rare their entropy is in the whole corpus (one counting
 pass over all texts). In each run of 64 neighbouring windows the leftmost rarest one scores; windows that score often
-enough are the text's features. Features go into a chain of Bloom filters (2048 bits, five bits a feature, a new filter
+enough are the text's features; where none does, its 16 rarest windows, one that
+comes again a byte longer each time. Features go into a chain of Bloom filters (2048 bits, five bits a feature, a new filter
 after 160 features). Two digests are compared filter by filter: bit overlap normalised between the overlap expected by
 chance and the largest possible, best partner each, averaged by features.
 
@@ -106,14 +107,15 @@ def select(b: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray
     n, rows = len(b), len(off) - 1
     size = np.diff(off)
     picked = np.zeros(n + 1, bool)
-    ends = off[:-1] + np.minimum(size, WINDOW)
+    stops: dict[int, int] = {}
     if n >= WINDOW:
         q = entropy_buckets(b)
         key = (rank[q] << 40) + np.arange(len(q))
         m = key.copy()
         w = 1
         while w < RUN:
-            m[: len(m) - w] = np.minimum(m[: len(m) - w], m[w:])
+            k = max(len(m) - w, 0)
+            m[:k] = np.minimum(m[:k], m[w:])
             w *= 2
         runs = np.zeros(len(q), bool)
         for s, e in zip(off[:-1], off[1:], strict=True):
@@ -122,13 +124,27 @@ def select(b: np.ndarray, off: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray
                 runs[s : s + k - RUN + 1] = True
             elif k > 0:
                 picked[key[s : s + k].min() & ((1 << 40) - 1)] = True
-        pop = np.bincount(m[runs] & ((1 << 40) - 1), minlength=1)
-        picked[: len(pop)] |= pop >= POPULAR
+        pop = np.bincount(m[runs] & ((1 << 40) - 1), minlength=n)
+        picked[:n] |= pop >= POPULAR
+        upto = np.append(0, np.cumsum(picked[:n]))
+        for r in np.flatnonzero((size >= WINDOW) & (upto[off[1:]] == upto[off[:-1]])):  # none scores often enough
+            own = key[off[r] : off[r + 1] - WINDOW + 1]
+            at = np.sort(np.partition(own, POPULAR - 1)[:POPULAR] & ((1 << 40) - 1))
+            picked[at] = True
+            seen: dict[bytes, int] = {}
+            for s in at:  # a single feature's five bits meet a full filter by chance, so windows that come again reach further
+                w = b[s : s + WINDOW].tobytes()
+                stops[s] = min(s + WINDOW + seen.get(w, 0), off[r + 1])
+                seen[w] = seen.get(w, 0) + 1
     tiny = np.flatnonzero((size > 0) & (size < WINDOW))
     picked[off[tiny]] = True
     at = np.flatnonzero(picked[:n])
     row = np.searchsorted(off, at, side="right") - 1
-    return row, span_hashes(b, at, np.where(size[row] < WINDOW, ends[row], at + WINDOW))
+    end = np.minimum(at + WINDOW, off[row + 1])
+    if stops:
+        far = np.array(sorted(stops))
+        end[np.searchsorted(at, far)] = [stops[s] for s in far.tolist()]
+    return row, span_hashes(b, at, end)
 
 
 class Digest:

@@ -63,6 +63,21 @@ def test_op4_small(spark):
     assert fingerprint.likeness(fingerprint.Digest.parse("sd1:0::"), fingerprint.Digest.parse(one.fingerprint)) == 0.0
 
 
+def test_texts_of_every_length_have_features():
+    r = random.Random(8)
+    texts = [prose(r, 200).encode()[:n] for n in range(1, 401) for _ in range(2)] + [b"x" * 5000]
+    off = np.cumsum([0, *map(len, texts)])
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    rank = fingerprint.rarity(np.bincount(fingerprint.entropy_buckets(b), minlength=fingerprint.BUCKETS))
+    out = fingerprint.digests(b, off, rank)
+    assert [len(t) for t, d in zip(texts, out, strict=True) if not len(d.counts)] == []
+    for n in range(8, 401):
+        x, y = 2 * n - 2, 2 * n - 1
+        assert texts[x] != texts[y] and fingerprint.likeness(out[x], out[y]) < 0.5, n
+    alone = [fingerprint.digests(np.frombuffer(t, np.uint8), np.array([0, len(t)]), rank)[0].text() for t in texts]
+    assert alone == [d.text() for d in out]
+
+
 # --- secrets
 
 
