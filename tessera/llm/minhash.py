@@ -259,10 +259,15 @@ def op8(docs: DataFrame, **options) -> DataFrame:
 
 
 def stage(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group stays, the one with the smallest id; documents without an id or without words stay."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-    out = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group stays, the one with the smallest id; documents without an id or without words stay.
+    Where an id comes again its rows are told apart: of a group, the first by id, text hash and the other columns stays."""
     twice = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count()
-    if twice:
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    if not twice:
+        gone = near_duplicates(docs, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
+        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    order = ["doc_id", F.sha2("text", 256), F.xxhash64(*docs.columns)]
+    rows = docs.where("doc_id is not null").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")  # ranges come in order, so do their numbers
+    gone = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    out = rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    return out.unionByName(docs.where("doc_id is null"))

@@ -71,6 +71,17 @@ def test_stage_and_empty(spark):
     assert minhash.op8(df.where("false")).count() == 0
 
 
+def test_stage_tells_rows_of_one_id_apart(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(3, text(0)), (5, text(0)), (5, text(1)), (5, text(2)), (7, text(2)), (9, text(3)), (9, text(3)), (9, text(4)), (None, text(4)), (11, text(1) + " end")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(d, t, "en", "s", 0, 1, "x") for d, t in order], DOCS).repartition(3)
+        out = minhash.stage(df)
+        assert out.columns == df.columns
+        got = sorted((x.doc_id or 0, x.text) for x in out.collect())
+        assert got == sorted([(3, text(0)), (5, text(1)), (5, text(2)), (9, text(3)), (9, text(4)), (0, text(4))])
+
+
 def test_occupancy_bound_keeps_every_link(spark):
     g = np.random.default_rng(4)
     sets = [np.unique(np.concatenate([g.permutation(base)[: int(len(base) * keep)], g.integers(1, 1 << 62, extra, dtype=np.uint64)])) for base in (g.integers(1, 1 << 62, 60, dtype=np.uint64), g.integers(1, 1 << 62, 900, dtype=np.uint64)) for keep in (1.0, 0.95, 0.9, 0.8, 0.6) for extra in (0, 3, 9)]
