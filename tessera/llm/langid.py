@@ -3,7 +3,8 @@
 Every byte of a text is labelled: the text is cut into windows, a gated recurrent layer runs over each window in both
 directions, and a softmax over both states gives each position its language probabilities. A document's probabilities
 are the mean over its positions. The network is trained in numpy by backpropagation through time on a bounded sample
-(``per_lang`` windows of each language, drawn by id hash and position hash).
+(``per_lang`` windows of each language, drawn by id hash and position hash). Every learnable language is learned, so the
+driver's time and memory grow with their number.
 
 Cell, for state h, byte embedding e: g = hard_sigmoid(Ug h + Wg e + bg), c = hard_tanh(Uc h + Wc e + bc), h' = c + g (h - c).
 
@@ -161,11 +162,11 @@ class Net:
         return total / np.maximum(n, 1)[:, None]
 
 
-def sample_windows(docs: DataFrame, per_lang: int, seed: int, max_langs: int) -> list[tuple[str, bytes]]:
+def sample_windows(docs: DataFrame, per_lang: int, seed: int) -> list[tuple[str, bytes]]:
     """About ``per_lang`` windows of each language from learnable rows: a bounded training sample."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    counts = {r.lang: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     rate = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 1.2 * per_lang / n))])
@@ -184,9 +185,9 @@ def sample_windows(docs: DataFrame, per_lang: int, seed: int, max_langs: int) ->
     return out
 
 
-def train(docs: DataFrame, per_lang: int = 900, epochs: int = 12, seed: int = 7, max_langs: int = 64) -> Net | None:
+def train(docs: DataFrame, per_lang: int = 900, epochs: int = 12, seed: int = 7) -> Net | None:
     """Languages weigh alike: a rarer one's windows are repeated."""
-    got = sample_windows(docs, per_lang, seed, max_langs)
+    got = sample_windows(docs, per_lang, seed)
     if not got:
         return None
     langs = sorted({lang for lang, _ in got})

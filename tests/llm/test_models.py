@@ -139,3 +139,9 @@ def test_risk_is_not_negative():
     assert s[7] > 1 and s[8] == 0
     w, b = toxicity.fit(pos, unl, 0.2, s)
     assert w[7] + b > 1 and b < -1
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"l{i % 80:02d}", f"text {i % 80} " * 20) for i in range(1600)]
+    got = langid.sample_windows(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 4, 7)
+    assert {lang for lang, _ in got} == {f"l{k:02d}" for k in range(80)}
