@@ -1,8 +1,8 @@
 """Packing of token sequences into few bins of fixed capacity, by a configuration linear program over lengths.
 
 The lengths' histogram (at most ``capacity`` rows) is all the driver sees. Columns of the program are configurations
-(multisets of lengths that fit one bin); multiplicative weights over the lengths price them, a knapsack dynamic program
-finds the best one, and its share grows until its scarcest length is half covered. The fractional solution is rounded
+(multisets of lengths that fit one bin); multiplicative weights over the lengths alone price them, a knapsack dynamic program
+finds the best one, and its share grows until its scarcest length is covered, round by round until all are. The fractional solution is rounded
 down, keeping the leading share of it that gives the fewest bins, and what is left of the histogram is packed best-fit by length classes. The plan is a list of (configuration,
 multiplicity), so its size depends on the number of lengths, not of documents.
 
@@ -51,28 +51,25 @@ def price(value: np.ndarray, capacity: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def solve_lp(demand: np.ndarray, capacity: int, rounds: int = 160, step: float = 0.5) -> list[tuple[tuple[int, ...], float]]:
-    """Fractional configurations by multiplicative weights; no length is covered beyond its demand."""
+def solve_lp(demand: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], float]]:
+    """Fractional configurations by multiplicative weights that cover every length's demand and none beyond it. Each round
+    covers one length in full at least, so there are no more rounds than lengths."""
     need = demand.astype(float)
     cover = np.zeros(len(demand))
-    at = np.arange(len(demand))
-    # starting duals: a length of which m fit one bin is worth 1/m of it, and fuller bins win among equals
-    worth = np.where(at > 0, 1.0 / np.maximum(capacity // np.maximum(at, 1), 1), 0.0) + 0.25 * at / capacity
+    start = (np.arange(len(demand)) / capacity) ** 1.05  # nearly the volume bound's prices; long lengths first, short ones fill up
     out: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        open_ = need > cover + 1e-9
-        if not open_.any():
-            break
-        weight = np.exp(-np.where(open_, cover / np.maximum(need, 1), 0))
-        c = price(np.where(open_, worth * (0.95 + 0.05 * weight), 0.0), capacity)
+    open_ = need > 0
+    while open_.any():
+        c = price(np.where(open_, start * np.exp(-cover / np.maximum(need, 1)), 0.0), capacity)
         if not c:
             break
         k = np.bincount(c, minlength=len(demand))
         used = np.flatnonzero(k)
-        room = float(((need - cover)[used] / k[used]).min())
-        x = room if room <= 2 else step * room
+        room = (need - cover)[used] / k[used]
+        x = float(room.min())
         out[c] = out.get(c, 0.0) + x
         cover[used] += x * k[used]
+        open_[used[room <= x * (1 + 1e-12)]] = False
     return list(out.items())
 
 

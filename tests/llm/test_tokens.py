@@ -101,3 +101,13 @@ def test_plan_holds_demand():
         assert sum(c) <= 2048
         got += np.bincount(c, minlength=2049) * m
     assert (got == d).all()
+
+
+@pytest.mark.parametrize("scale", [1, 1000])
+def test_program_covers_all_demand(scale):
+    d = np.random.default_rng(5).integers(0, 60, 513) * scale
+    d[[0, 512]] = 0
+    got = packing.solve_lp(d, 512)
+    cover = sum(x * np.bincount(c, minlength=513) for c, x in got)
+    assert np.allclose(cover, d)
+    assert sum(x for _, x in got) <= 1.02 * (d * np.arange(513)).sum() / 512
