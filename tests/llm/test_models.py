@@ -143,5 +143,5 @@ def test_risk_is_not_negative():
 
 def test_every_language_is_learned(spark):
     rows = [(i, f"l{i % 80:02d}", f"text {i % 80} " * 20) for i in range(1600)]
-    got = langid.sample_windows(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 4, 7)
+    got = langid.sample_windows(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 40, 7)
     assert {lang for lang, _ in got} == {f"l{k:02d}" for k in range(80)}
