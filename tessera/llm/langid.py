@@ -9,7 +9,9 @@ driver's time and memory grow with their number.
 Cell, for state h, byte embedding e: g = hard_sigmoid(Ug h + Wg e + bg), c = hard_tanh(Uc h + Wc e + bc), h' = c + g (h - c).
 
 Edge cases: null text or a text without a letter gives ``und`` with score 0; a table without labelled text gives
-``und`` for all; null lang rows are never learned from; ties between languages go to the first in sorted order."""
+``und`` for all; null lang rows are never learned from; ties between languages go to the first in sorted order; rows that
+repeat an id are labelled each by its text; a very long text is read whole, window by window; an empty table gives no rows;
+op1 looks at no other columns, and the stage hands all columns, whatever their names, through."""
 
 from __future__ import annotations
 
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from tessera.llm.text import chunks, column, held_out, learnable
+from tessera.session import map_arrow, own_name
 
 T, H, E = 64, 10, 6
 
@@ -198,11 +201,13 @@ def train(docs: DataFrame, per_lang: int = 900, epochs: int = 12, seed: int = 7)
     return Net(langs, seed).fit(x[pick], y[pick], epochs)
 
 
-def identify(docs: DataFrame, net: Net | None) -> DataFrame:
-    """Adds lang_pred and score (the pooled probability of the predicted language) to ``docs``; other columns stay."""
-    extra = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    src = docs.select(*extra).withColumn("_letter", F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
-    schema = StructType([*src.drop("_letter").schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+def identify(docs: DataFrame, net: Net | None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the predicted language and the score (its pooled probability) under ``names``, in place of columns of these
+    names; other columns stay."""
+    extra = [c for c in docs.columns if c.lower() not in names]
+    letter_, = own_name(docs, "letter")
+    src = docs.select(*extra).withColumn(letter_, F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
+    schema = StructType([*src.drop(letter_).schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     at, letter = src.columns.index("text"), len(src.columns) - 1
 
     def run(batches):
@@ -218,9 +223,9 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
                     pred[i:j] = np.array(net.langs, object)[best]
                     score[i:j] = np.clip(p[np.arange(j - i), best], 0, 1)
                 pred[~ok], score[~ok] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(letter)], pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names[:letter], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(letter)], pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names[:letter], *names])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def op1(docs: DataFrame, **train_options) -> DataFrame:
@@ -231,5 +236,5 @@ def op1(docs: DataFrame, **train_options) -> DataFrame:
 
 def stage(docs: DataFrame, min_score: float = 0.35) -> DataFrame:
     """Keeps the documents in a known language: rejected are ``und`` and those whose best language has less than ``min_score``."""
-    cols = docs.columns
-    return identify(docs, train(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select(*cols)
+    pred, score = own_name(docs, "lang_pred", "score")
+    return identify(docs, train(docs), (pred, score)).where((F.col(pred) != "und") & (F.col(score) >= min_score)).drop(pred, score)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.text import chunks, column, mix, span_hashes, words
+from tessera.session import map_arrow, stored
 
 BITS = 18
 DIM = 1 << BITS
@@ -101,8 +102,9 @@ def indicators(b: np.ndarray, off: np.ndarray, kinds: tuple[str, ...]):
             yield f
 
 
-def training_rows(docs: DataFrame, ids: list[int], kinds: tuple[str, ...]) -> dict[int, np.ndarray]:
-    """Features of the given documents (a bounded list), found on the executors; at most DIM numbers a document."""
+def training_rows(docs: DataFrame, ids: list[int], kinds: tuple[str, ...], most_bytes: int = 192 << 20) -> dict[int, np.ndarray]:
+    """Features of the given documents (a bounded list), found on the executors; at most DIM numbers a document. What the
+    driver holds is bounded by ``most_bytes``: where all features are more, the documents of the lowest id hashes are taken."""
     spark = docs.sparkSession
     wanted = spark.createDataFrame([(i,) for i in ids], "w long") if ids else None
     if wanted is None:
@@ -115,7 +117,12 @@ def training_rows(docs: DataFrame, ids: list[int], kinds: tuple[str, ...]) -> di
             f = [x.astype(np.int32).tobytes() for x in indicators(*column(b.column(1)), kinds)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.binary())], ["doc_id", "f"])
 
-    return {r.doc_id: np.frombuffer(r.f, np.int32) for r in src.mapInArrow(run, "doc_id long, f binary").toLocalIterator()}
+    found = stored(map_arrow(src, run, "doc_id long, f binary"), "training-rows")
+    sizes = found.groupBy("doc_id").agg(F.max(F.length("f")).alias("n"), F.xxhash64("doc_id").alias("h")).orderBy("h").collect()  # one row a sampled document
+    total = np.cumsum([r.n for r in sizes])
+    if len(total) and total[-1] > most_bytes:
+        found = found.where(F.xxhash64("doc_id") < sizes[int(np.searchsorted(total, most_bytes, side="right"))].h)
+    return {r.doc_id: np.frombuffer(r.f, np.int32) for r in found.orderBy("doc_id", "f").toLocalIterator()}
 
 
 def apply_linear(docs: DataFrame, weights: np.ndarray | None, bias: float, a: float, c: float, kinds: tuple[str, ...], norm: bool, default: float) -> DataFrame:
@@ -137,7 +144,7 @@ def apply_linear(docs: DataFrame, weights: np.ndarray | None, bias: float, a: fl
                     z[i] = 1.0 / (1.0 + np.exp(-np.clip(a * m + c, -60, 60)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(z)], names=[*keep, "score"])
 
-    return src.mapInArrow(run, T.StructType([*src.schema.fields, T.StructField("score", T.DoubleType())]))
+    return map_arrow(src, run, T.StructType([*src.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def platt(margin: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:

@@ -5,7 +5,9 @@ indicators by dual coordinate descent; margins are calibrated on cross-fitted fo
 labelled learnable rows (``limit``); every document is then scored whole.
 
 Edge cases: null and empty texts have no features and get the calibrated bias; without labels of both classes every
-score is the share of label 1 (0.5 without any label); null labels are left out."""
+score is the share of label 1 (0.5 without any label); null labels are left out; of repeated label rows the largest label
+counts, and rows that repeat an id are scored each by its text; a very long text is scored whole; an empty table gives no
+rows; extra columns, whatever their names, aren't looked at."""
 
 from __future__ import annotations
 
@@ -28,7 +30,7 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -
 
 def hinge_dual(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, cost: float = 1.0, epochs: int = 12, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights over buckets (already times the ratios) and bias. Rows are scaled to unit length; a class's cost is
-    weighted by the other's share. Dual variables of shrunk rows are skipped until the last epochs."""
+    weighted by the other's share. A row whose dual variable is at its bound and would stay there is passed over."""
     g = np.random.default_rng(seed)
     scaled = [r[f] for f in rows]
     length = np.array([np.sqrt(max(len(f), 1)) for f in rows])

@@ -1,14 +1,18 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic learnable rows are the positives; the unlabelled set is a bounded draw from the learnable documents that
-``labels`` names, whatever their label, because the class prior below is that population's and not the corpus's. With the class prior p, the risk p*E_pos[l(z)] + max(0, E_unl[l(-z)] - p*E_pos[l(-z)]) is minimised
-by Adam over hashed word indicators; where the corrected negative part of a batch falls below zero, its gradient is
-turned round, so that the model can't explain positives away among the unlabelled. Several classifiers with different
-seeds are averaged. The prior is the toxic share among learnable labelled rows.
+Confirmed toxic learnable rows are the positives. Unlabelled text comes in two bounded draws: from all learnable documents of
+the corpus, and from those that ``labels`` names, whatever their label. A feature takes part only if it is surely commoner
+among the positives than in both draws. The risk p*E_pos[l(z)] + max(0, E_unl[l(-z)] - p*E_pos[l(-z)]) has the second draw as
+its unlabelled set, because the class prior p (the toxic share among learnable labelled rows) is that population's and not
+the corpus's. It is minimised by Adam over hashed word indicators; where the corrected negative part of a batch falls below
+zero, its gradient is turned round, so that the model can't explain positives away among the unlabelled. Several classifiers
+with different seeds are averaged.
 
 The margin is a sum over a text's distinct words and pairs, not a mean, so an insult counts the same in a long text.
 
-Edge cases: null and empty texts get the bias's score; without positives every score is 0; null labels are left out."""
+Edge cases: null and empty texts get the bias's score; without positives every score is 0; null labels are left out; of
+repeated label rows the largest label counts, and rows that repeat an id are scored each by its text; a very long text is
+scored whole; an empty table gives no rows; extra columns, whatever their names, aren't looked at."""
 
 from __future__ import annotations
 
@@ -41,8 +45,9 @@ def feature_scale(pos: list[np.ndarray], unl: list[np.ndarray]) -> np.ndarray:
     return np.where(p > 0, np.clip(lp - 1.5 * doubt, 0.0, 3.0), 0.0)
 
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, scale: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, float]:
-    """One classifier: weights over buckets (times the scale) and bias."""
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, scale: np.ndarray, epochs: int = 20, least_steps: int = 200, batch: int = 256, rate: float = 0.05, decay: float = 1e-5, seed: int = 0) -> tuple[np.ndarray, float]:
+    """One classifier: weights over buckets (times the scale) and bias. Small sets are gone through more often than ``epochs``
+    times, so that ``least_steps`` steps are taken."""
     g = np.random.default_rng(seed)
     active = np.flatnonzero(scale > 0)
     index = np.full(DIM, -1)
@@ -54,7 +59,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, scale: np.nd
     m1, m2, mb1, mb2, t = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
     nb = max(1, -(-len(unl) // batch))
     np_ = max(8, min(len(pos), batch))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps // nb))):
         order = g.permutation(len(unl))
         for k in range(nb):
             ui, pi = order[k * batch : (k + 1) * batch], g.choice(len(pos), min(np_, len(pos)), replace=False)
@@ -84,17 +89,19 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, scale: np.nd
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 6000, classifiers: int = 3, seed: int = 23) -> DataFrame:
-    """Adds score to ``docs``; bounds: ``positives`` confirmed rows, ``unlabelled`` documents."""
+    """Adds score to ``docs``; bounds: ``positives`` confirmed rows, ``unlabelled`` documents in each of the two draws."""
     known = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).agg(F.avg((F.col("toxic") == 1).cast("double"))).collect()[0][0]
     pos = label_sample(labels, "toxic", positives, seed, F.col("y") == 1)
     named = labels.where(learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     unl = [r.doc_id for r in bounded_texts(named, unlabelled, seed + 1).collect()]
-    got = training_rows(docs, sorted({d for d, _ in pos} | set(unl)), KINDS)
-    p, u = [got[d] for d, _ in pos if d in got], [got[d] for d in unl if d in got]
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(learnable(F.col("doc_id")))
+    corpus = [r.doc_id for r in bounded_texts(every, unlabelled, seed + 2).collect()]
+    got = training_rows(docs, sorted({d for d, _ in pos} | set(unl) | set(corpus)), KINDS)
+    p, u, c = [got[d] for d, _ in pos if d in got], [got[d] for d in unl if d in got], [got[d] for d in corpus if d in got]
     if not p or not u:
         return apply_linear(docs, None, 0, 1, 0, KINDS, False, 0.0)
     prior = float(np.clip(known or 0.1, 0.005, 0.9))
-    scale = feature_scale(p, u)
+    scale = np.minimum(feature_scale(p, u), feature_scale(p, c))
     fits = [fit(p, u, prior, scale, seed=seed + k) for k in range(classifiers)]
     w, b = np.mean([f[0] for f in fits], axis=0), float(np.mean([f[1] for f in fits]))
     return apply_linear(docs, w, b, 1.0, 0.0, KINDS, False, 0.0)

@@ -141,6 +141,25 @@ def test_risk_is_not_negative():
     assert w[7] + b > 1 and b < -1
 
 
+def test_language_stage_keeps_columns_of_any_name(tables):
+    d, *_ = tables
+    df = d.selectExpr("* except (score)", "-5.0D as score", "'z' as lang_pred", "7 as letter", "8 as _letter")
+    out = langid.stage(df)
+    assert out.columns == df.columns
+    assert {(r.score, r.lang_pred, r.letter, r._letter) for r in out.collect()} == {(-5.0, "z", 7, 8)}
+
+
+def test_training_rows_stay_within_their_bound(spark, tables):
+    from tessera.llm.linear import training_rows
+
+    d, *_ = tables
+    whole = training_rows(d, list(range(100)), ("words",))
+    size = sum(v.nbytes for v in whole.values())
+    some = training_rows(d, list(range(100)), ("words",), most_bytes=size // 2)
+    assert size / 4 < sum(v.nbytes for v in some.values()) <= size / 2
+    assert all((whole[k] == v).all() for k, v in some.items()) and len(whole) == 100
+
+
 def test_every_language_is_learned(spark):
     rows = [(i, f"l{i % 80:02d}", f"text {i % 80} " * 20) for i in range(1600)]
     got = langid.sample_windows(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 40, 7)
