@@ -1,12 +1,16 @@
 """Secret scans: three fixed patterns, and assignments lexed from source and configuration text.
 
-The lexer reads name-literal pairs (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``<name>`` style keys are plain names),
-follows constants through names and ``+`` concatenations, and scores every literal by how sensitive its target's name is
+The lexer reads name-literal pairs: ``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``, ``name => x``, ``env["name"] = x``, ``name: type = x``,
+chained assignments, ``<name>x</name>``, ``key="name" value="x"`` (and ``name: n`` before ``value: x``), and block scalars (``name: |``). A value may follow a comment or stand
+in parentheses, and is a string (triple quotes and prefixes included), an unquoted term, or several of these joined by ``+`` or, for strings, side by side.
+Constants are followed through names, wherever in the text they are defined; a call has no literal of its own. Every literal is scored by how sensitive its target's name is
 and how much the value looks like a secret. Literals above the threshold are spans of kind ``literal``, unless one base span
 covers them whole; otherwise the two may overlap.
 
 Spans count code points, ends exclusive, and are ordered by start, then kind as listed in KINDS. Edge cases: null and
-empty texts have no spans and the digest of the empty string; letters match ASCII only."""
+empty texts have no spans and the digest of the empty string; letters match ASCII only; a text of any length is read whole;
+rows that repeat an id or a text are separate rows; an empty table gives no rows; op6 looks at doc_id and text alone, and
+the stage hands all other columns, whatever their names, through."""
 
 from __future__ import annotations
 
@@ -18,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.text import chunks, code_points, column, text_only
+from tessera.session import map_arrow
 
 KINDS = ("assign", "access", "hex", "literal")
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -35,10 +40,22 @@ HARMLESS = {"hash": 2, "length": 3, "count": 3, "name": 2, "url": 2, "path": 3,
 _HINTS = tuple(s.encode() for s in SENSITIVE if not any(o != s and o in s for o in SENSITIVE))
 # possessive repeats: nothing is bounded in length, and nothing is read twice from one start
 _NAME = rb"[A-Za-z_][A-Za-z0-9_.-]*+"
-_TERM = rb"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|[A-Za-z0-9+/_.=$-]++)"""
+_SIGN = rb"(?::=|=>|\+=|=(?!=)|:(?!:))"
 # a name starts at a quote or at the first letter of its run of name characters
-PAIR = re.compile(rb"""(?:(?<![A-Za-z0-9_.-])[0-9.-]*+|(["']))(""" + _NAME + rb""")(?(1)\1)[ \t]*+(?::=|=>|=(?!=)|:(?!:))[ \t]*+(""" + _TERM + rb"""(?:[ \t]*+\+[ \t]*+""" + _TERM + rb""")*+)""")
-TERM = re.compile(_TERM)
+KEY = re.compile(rb"""(?:(?<![A-Za-z0-9_.-])[0-9.-]*+|(["']))(""" + _NAME + rb""")(?(1)\1\]?)(?:\[[0-9]*+\])?[ \t]*+(""" + _SIGN + rb""")""")
+ELEMENT = re.compile(rb"<(?:[A-Za-z_][A-Za-z0-9_-]*+:)?(" + _NAME + rb")(?:[ \t\r\n][^<>]*+)?>\s*+(?:(<!\[CDATA\[)|([^<>]*+)</)")
+STRING = re.compile(rb"""(?:[A-Za-z]{1,2}|@)?(?:\"{3}((?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')""", re.DOTALL)
+BARE = re.compile(rb"[A-Za-z0-9+/_.=$-]++")
+GAP = re.compile(rb"[ \t(]*+")
+COMMENTS = {b"/*": b"*/", b"<!--": b"-->"}
+# the rest of a line without a value, and the blanks of the next; a value there is quoted
+NEXT_LINE = re.compile(rb"(?:(?:\#|//)[^\n]*+|\\?)\r?\n[ \t]*+(?=[\"'])")
+PLUS = re.compile(rb"[ \t]*+(?:\\?\r?\n[ \t]*+)?\+[ \t]*+(?:\\?\r?\n[ \t]*+)?(?=[A-Za-z0-9_\"'@$])")
+BESIDE = re.compile(rb"(?:[ \t]++|\\?\r?\n)*+(?=[\"'])")
+BLOCK = re.compile(rb"[ \t]*+[|>][0-9+-]*+[ \t]*+(?:\#[^\n]*+)?\r?\n")
+LINE = re.compile(rb"[^\n]*+\n?")
+TYPE = re.compile(rb"[ \t]*+&?[A-Za-z_][A-Za-z0-9_.\[\]]*+[ \t]*+=(?![=>])")
+CHAIN = re.compile(rb"[ \t]*+(?:=(?!=)|:=)")
 HEAD = 64
 IDENT = re.compile(_NAME + rb"\Z")
 PLACEHOLDER = re.compile(rb"(?i)^(?:x+|\*+|\.+|change.?me|example.*|your[_-].*|placeholder|none|null|true|false|todo|test|dummy|<.*>|\$.*)$")
@@ -50,15 +67,30 @@ def name_score(name: str) -> int:
 
 
 class Value:
-    """The joined text of spans and earlier values as its score sees it: bytes by count, first bytes, last byte. Joining
-    costs the same however long the parts are."""
+    """Spans and other values joined. As its score sees it: bytes by count, first bytes, last byte, found once, children
+    first; a value that holds itself counts as empty there. Joining costs the same however long the parts are."""
 
-    __slots__ = ("parts", "count", "head", "last", "found")
+    __slots__ = ("parts", "count", "head", "last", "state")
 
-    def __init__(self, raw: bytes, parts: list):
-        self.parts, self.found = parts, False
+    def __init__(self, parts: list):
+        self.parts, self.state = parts, 0  # 0 new, 1 begun, 2 measured, 3 found
         self.count, self.head, self.last = np.zeros(256), b"", b""
-        for p in parts:
+
+    def measure(self, raw: bytes) -> None:
+        todo = [self]
+        while todo:
+            v = todo[-1]
+            if v.state == 0:
+                v.state = 1
+                todo += [p for p in v.parts if isinstance(p, Value) and p.state == 0]
+                continue
+            todo.pop()
+            if v.state == 1:
+                v._join(raw)
+                v.state = 2
+
+    def _join(self, raw: bytes) -> None:
+        for p in self.parts:
             if isinstance(p, Value):
                 count, head, last = p.count, p.head, p.last
             else:
@@ -82,35 +114,169 @@ class Value:
         return (n >= 8) + (h >= 2.5) + (h >= 3.2) + (kinds >= 2) - (kinds == 1 and h < 3.2)
 
 
+class Lexer:
+    """Name-value pairs of one text. ``known`` has each name's latest value, ``awaited`` the names used before that."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.pairs = raw, []
+        self.known: dict[bytes, Value] = {}
+        self.awaited: dict[bytes, tuple[Value, tuple[int, int]]] = {}
+        self.next: dict[bytes, int] = {}
+
+    def find(self, what: bytes, at: int) -> int:
+        """``raw.find(what, at)`` for a position that moves on: no stretch is searched twice."""
+        k = self.next.get(what, 0)
+        if 0 <= k < at or what not in self.next:
+            self.next[what] = k = self.raw.find(what, at)
+        return k
+
+    def name(self, name: bytes, span: tuple[int, int], later: bool = False) -> Value:
+        """What a name stands for: its value so far, or else the one it gets first from here on."""
+        if name in self.known and not later:
+            return self.known[name]
+        if name not in self.awaited:
+            self.awaited[name] = (Value([]), span)
+        return self.awaited[name][0]
+
+    def put(self, name: bytes, value: Value) -> None:
+        if name in self.awaited:
+            self.awaited.pop(name)[0].parts.append(value)
+        self.known[name] = value
+        self.pairs.append((name, value))
+
+    def string(self, at: int) -> tuple[tuple[int, int], int] | None:
+        m = STRING.match(self.raw, at)
+        return (m.span(m.lastindex), m.end()) if m else None
+
+    def value(self, at: int) -> tuple[list, int, int]:
+        """Parts from ``at`` on, the end of what was read, and where reading goes on. No parts: no literal."""
+        raw, parts = self.raw, []
+        at = GAP.match(raw, at).end()
+        while (end := next((e for s, e in COMMENTS.items() if raw.startswith(s, at)), None)) and (k := self.find(end, at)) >= 0:
+            at = GAP.match(raw, k + len(end)).end()
+        if m := NEXT_LINE.match(raw, at):
+            at = m.end()
+        while True:
+            if s := self.string(at):
+                parts.append(s[0])
+                at = s[1]
+                while (m := BESIDE.match(raw, at)) and (s := self.string(m.end())) and not KEY.match(raw, m.end()):
+                    parts.append(s[0])
+                    at = s[1]
+            elif m := BARE.match(raw, at):
+                a, at = m.span()
+                t = m[0]
+                if raw[at : at + 1] in (b"(", b"["):  # a call or an element has no literal of its own
+                    return [], at, at
+                ident = IDENT.match(t)
+                if ident and CHAIN.match(raw, at):  # another target: its value is this one's too
+                    return [self.name(t, (a, at), True)], at, a
+                if t.endswith(b"=") and IDENT.match(t[:-1]) and raw[at : at + 1] in (b'"', b"'"):
+                    return [self.name(t[:-1], (a, at - 1), True)], at, a
+                names = t.split(b"+")
+                if ident:
+                    parts.append(self.name(t, (a, at)))
+                elif len(names) > 1 and all(x in self.known for x in names if x) and any(names):
+                    parts += [self.known[x] for x in names if x]
+                    if t.endswith(b"+") and (s := self.string(at)):
+                        continue
+                elif len(names) > 1 and not names[-1] and all(IDENT.match(x) for x in names[:-1]) and self.string(at):  # names, then a string
+                    parts += [self.name(x, (a, at)) for x in names[:-1]]
+                    continue
+                else:
+                    parts.append((a, at))
+            else:
+                return parts, at, at
+            m = PLUS.match(raw, at)
+            if not m:
+                return parts, at, at
+            at = m.end()
+
+    def block(self, key: int, at: int) -> tuple[list, int] | None:
+        """The lines of a block scalar: those indented deeper than the key."""
+        raw = self.raw
+        m = BLOCK.match(raw, at)
+        if not m:
+            return None
+        line = raw.rfind(b"\n", 0, key) + 1
+        if raw[line:key].strip(b" -\"'"):
+            return None
+        parts, at = [], m.end()
+        while at < len(raw):
+            z = LINE.match(raw, at).end()
+            text = raw[at:z]
+            body = text.strip()
+            if body:
+                deep = len(text) - len(text.lstrip(b" \t"))
+                if deep <= key - line:
+                    break
+                if not body.startswith(b"-----"):
+                    parts.append((at + deep, at + deep + len(body)))
+            at = z
+        return parts, at
+
+    def read(self) -> None:
+        raw, at, before = self.raw, 0, (b"", b"", -1)
+        elements = ELEMENT.finditer(raw)
+        element = next(elements, None)
+        while m := KEY.search(raw, at):
+            while element and element.end() <= m.end():
+                self.element(element)
+                element = next(elements, None)
+            name, sign = m[2], m[3]
+            start, a = m.start(2) - bool(m[1]), m.end()
+            if sign == b":":
+                if found := self.block(start, a):
+                    parts, at = found
+                    if parts:
+                        self.put(name, Value(parts))
+                    continue
+                if t := TYPE.match(raw, a):
+                    a = t.end()
+            parts, end, at = self.value(a)
+            at = max(at, m.end())
+            if parts:
+                value = Value(parts)
+                if sign == b"+=" and name in self.known:
+                    value = Value([self.known[name], value])
+                if name.lower() == b"value" and before[0].lower() in (b"key", b"name", b"id") and raw[before[2] : start].strip(b" \t\r\n,") == b"":
+                    name = before[1]
+                text = raw[slice(*parts[0])] if len(parts) == 1 and isinstance(parts[0], tuple) else raw[a:end].strip()
+                quote = 1 if raw[end - 1 : end] in (b'"', b"'") else 0
+                before = (m[2], text, end) if IDENT.match(text) or quote and IDENT.match(text.strip(b"\"'")) else (b"", b"", -1)
+                self.put(name, value)
+        while element:
+            self.element(element)
+            element = next(elements, None)
+        for value, span in self.awaited.values():  # names that nothing defines are texts
+            value.parts.append(span)
+
+    def element(self, m: re.Match) -> None:
+        a, z = m.span(3)
+        if m[2]:
+            a, z = m.end(), self.find(b"]]>", m.end())
+        z = a + len(self.raw[a:z].rstrip()) if z > a else a
+        if z > a:
+            self.put(m[1], Value([(a, z)]))
+
+
 def literals(raw: bytes, threshold: float = 4.5) -> list[tuple[int, int]]:
     """Byte spans of secret literals by their assignment targets; a constant counts for every name it reaches."""
-    known: dict[bytes, tuple[int, int] | Value] = {}
+    lexer = Lexer(raw)
+    lexer.read()
     found: set[tuple[int, int]] = set()
-    for m in PAIR.finditer(raw):
-        places: list[tuple[int, int] | Value] = []
-        for t in TERM.finditer(raw, m.start(3), m.end(3)):
-            a, z = t.span()
-            if t[0] == b"+":
-                continue
-            if raw[a : a + 1] in (b'"', b"'"):
-                places.append((a + 1, z - 1))
-            elif IDENT.match(t[0]) and t[0] in known:
-                places.append(known[t[0]])
-            else:
-                places.append((a, z))
-        known[m[2]] = value = places[0] if len(places) == 1 else Value(raw, places)
-        score = name_score(m[2].decode("ascii"))
-        if score < 2:
+    for name, value in lexer.pairs:
+        score = name_score(name.decode("ascii"))
+        if score < 2 or value.state == 3:
             continue
-        if not isinstance(value, Value):
-            value = Value(raw, [value])
+        value.measure(raw)
         if score + value.score() >= threshold + 1:
             left = [value]
             while left:
                 v = left.pop()
                 if isinstance(v, Value):
-                    if not v.found:
-                        v.found = True
+                    if v.state != 3:
+                        v.state = 3
                         left += v.parts
                 elif v[1] > v[0]:
                     found.add(v)
@@ -156,7 +322,7 @@ def scan(b: np.ndarray, off: np.ndarray) -> list[list[tuple[int, int, int, int]]
         out[r] += [(m.start(), 1, m.end(), m.start()) for m in ACCESS.finditer(t) if m.end() - m.start() >= 20]
     for r in rows_with(_HINTS):
         t = raw[off[r] : off[r + 1]]
-        if b"=" in t or b":" in t:
+        if b"=" in t or b":" in t or b"</" in t:
             base = sorted((a, z) for a, _, z, _ in out[r])
             out[r] += [(a, 3, z, a) for a, z in literals(t) if not any(x <= a and z <= y for x, y in base)]
     return [sorted(x) for x in out]
@@ -188,7 +354,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             n = np.array(n, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([x.column(0), *[pa.array(n[:, k]) for k in range(3)], pa.array(base, pa.string()), pa.array(spans, pa.string()), pa.array(n[:, 3])], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long")
+    return map_arrow(text_only(docs), run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long")
 
 
 def op6(docs: DataFrame) -> DataFrame:
@@ -228,7 +394,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                     arrays[chars] = pa.array(n, x.column(chars).type)
             yield pa.RecordBatch.from_arrays(arrays, names=cols)
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 stage = redact

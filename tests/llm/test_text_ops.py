@@ -154,10 +154,45 @@ def test_no_literal_is_cut():
     assert found("a = 'Zk93hqLw'\n" + "a = a + a\n" * 3000 + "pwd = a") == ["Zk93hqLw"]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('private_key = """\nMIIEvQIBADANBg9q2\nZz81kkPq\n"""', ["\nMIIEvQIBADANBg9q2\nZz81kkPq\n"]),
+        ("db_pwd = '''Zk93hqLw8s'''", ["Zk93hqLw8s"]),
+        ('db_pwd = b"Zk93hqLw8s"', ["Zk93hqLw8s"]),
+        ('alpha = "9fK2mQ7x"\nbeta = "Lp8Zt4Wn"\nclient_credential = alpha+beta', ["9fK2mQ7x", "Lp8Zt4Wn"]),
+        ('base = "9fK2mQ7x"\ndb_pwd = base+"Zk93"', ["9fK2mQ7x", "Zk93"]),
+        ("client_credential = base\nbase = \"9fK2mQ7xLp\"", ["9fK2mQ7xLp"]),
+        ("db_pwd = base+\"Zk93\"\nbase = \"9fK2mQ7x\"", ["Zk93", "9fK2mQ7x"]),
+        ("private_key: |\n  -----BEGIN KEY-----\n  MIIEvQIBADANBg9q2\n  Zz81kkPqAb3\n  -----END KEY-----\nother: x", ["MIIEvQIBADANBg9q2", "Zz81kkPqAb3"]),
+        ("<dbPassword>Zk93hqLw8s</dbPassword>", ["Zk93hqLw8s"]),
+        ("<db:Pwd scope=\"x\"><![CDATA[Zk93hqLw8s]]></db:Pwd>", ["Zk93hqLw8s"]),
+        ('<add key="DbPwd" value="Zk93hqLw8s"/>', ["Zk93hqLw8s"]),
+        ("- name: DB_PWD\n  value: Zk93hqLw8s", ["Zk93hqLw8s"]),
+        ('db_pwd = /* prod */ "Zk93hqLw8s"', ["Zk93hqLw8s"]),
+        ('db_pwd:  # prod\n  "Zk93hqLw8s"', ["Zk93hqLw8s"]),
+        ('# db_pwd = "Zk93hqLw8s"', ["Zk93hqLw8s"]),
+        ('os.environ["DB_PWD"] = "Zk93hqLw8s"', ["Zk93hqLw8s"]),
+        ('db_pwd: str = "Zk93hqLw8s"', ["Zk93hqLw8s"]),
+        ('char db_pwd[] = "Zk93hqLw8s";', ["Zk93hqLw8s"]),
+        ('db_pwd = x = "Zk93hqLw8s"', ["Zk93hqLw8s"]),
+        ('db_pwd = ("Zk93h"\n   "qLw8sQ")', ["Zk93h", "qLw8sQ"]),
+        ('db_pwd = os.getenv("DB_PASSWORD")', []),
+        ("a = b\nb = a\ndb_pwd = a", []),
+        ('client_signing = "Zx9Qw7Kp2Lm4"', ["Zx9Qw7Kp2Lm4"]),
+    ],
+)
+def test_syntax(spark, text, want):
+    raw = text.encode()
+    assert [raw[a:z].decode() for a, z in secrets.literals(raw)] == want
+    left = secrets.stage(make(spark, [(1, text, "a")])).collect()[0].text
+    assert not any(w in left for w in want)
+
+
 def test_lexer_time_is_in_proportion():
     import time
 
-    for text in ("a" * 400_000, "a " + " " * 400_000, '"' + "a" * 400_000, "0." * 200_000, "a='b=\"" * 60_000, "x=" + "\\" * 400_000, "token = token + 'abc'\n" * 20_000):
+    for text in ("a" * 400_000, "a " + " " * 400_000, '"' + "a" * 400_000, "0." * 200_000, "a='b=\"" * 60_000, "x=" + "\\" * 400_000, "<a>" * 100_000, "<![CDATA[" * 40_000, "k: |\n" * 60_000, "x = /*" * 60_000, "a = (" * 60_000, 'p = """' * 60_000, "a: b" * 100_000, "a = b + " * 60_000, "a=" * 150_000, "k: |\n  x\n" * 40_000, "token = token + 'abc'\n" * 20_000):
         t0 = time.perf_counter()
         secrets.literals(text.encode())
         assert time.perf_counter() - t0 < 10, text[:20]
@@ -227,6 +262,49 @@ def test_schedule_order(spark):
     assert f == sorted(f) and all(x.words == x.size for x in served if x.finish <= 1)
 
 
+def served_items(spark, rows, per_bucket=16):
+    items = mixing.schedule(mixing.sized(make(spark, rows)), per_bucket=per_bucket).collect()
+    assert len(items) == 2 * len(rows)
+    return items
+
+
+def test_words_are_served_as_by_a_priority_queue(spark):
+    import heapq
+
+    items = served_items(spark, mixed_rows(4, 250))
+    goal = {x.source: x.target for x in items}
+    names = sorted(s for s in goal if s is not None) + [None]
+    lines = {s: sorted((x for x in items if x.source == s), key=lambda x: (x["round"], x.start)) for s in names}
+    words = {s: [(x.row, x["round"]) for x in lines[s] for _ in range(x.size)] for s in names}
+    heap = [(1 / goal[s], i, 0) for i, s in enumerate(names) if goal[s] > 0 and words[s]]
+    heapq.heapify(heap)
+    want = {}
+    for _ in range(sum(int(g) for g in goal.values())):
+        _, i, k = heapq.heappop(heap)
+        s = names[i]
+        want[words[s][k]] = want.get(words[s][k], 0) + 1
+        if k + 1 < len(words[s]):
+            heapq.heappush(heap, ((k + 2) / goal[s], i, k + 1))
+    assert {(x.row, x["round"]): x.words for x in items if x.words} == want
+    assert any(0 < x.words < x.size for x in items)
+
+
+def test_another_order_takes_other_words(spark, monkeypatch):
+    rows, plain = mixed_rows(4, 250), mixing.positioned
+    want = {(x.row, x["round"]): x.words for x in served_items(spark, rows)}
+    monkeypatch.setattr(mixing, "positioned", lambda d, keys, words, parts: plain(d, keys[1:], words, parts))
+    got = {(x.row, x["round"]): x.words for x in served_items(spark, rows)}
+    assert sum(got.values()) != sum(want.values()) or got != want
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    rows = mixed_rows(3, 60)
+    df = make(spark, rows).selectExpr("*", "'a' as _row", "1 as r", "2 as whole", "3 as rest", "'b' as position", "4 as words", "5 as target")
+    out = mixing.stage(df)
+    assert out.columns == df.columns and out.count() > 0
+    assert {(x._row, x.r, x.whole, x.rest, x.position, x.words, x.target) for x in out.collect()} == {("a", 1, 2, 3, "b", 4, 5)}
+
+
 def test_mix_stage(spark):
     rows = mixed_rows(3, 200)
     df = make(spark, rows)
