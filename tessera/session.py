@@ -61,6 +61,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the application ends."""
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete stored tables that no result still to be computed reads."""
     for df in tables:
@@ -78,12 +84,15 @@ def importable(spark: SparkSession) -> None:
             env["PYTHONPATH"] = os.pathsep.join(x for x in (str(root), env.get("PYTHONPATH", "")) if x)
     elif not any(x.startswith("tessera-") for x in sc._python_includes):
         package = Path(__file__).resolve().parent
+        name = f"tessera-{sc.applicationId}.zip"
+        fs, to = _path(spark, f"{shared_dir(spark)}/{name}")
         with tempfile.TemporaryDirectory() as d:
-            path = f"{d}/tessera-{sc.applicationId}.zip"
-            with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            with zipfile.ZipFile(f"{d}/{name}", "w", zipfile.ZIP_DEFLATED) as z:
                 for f in sorted(package.rglob("*.py")):
                     z.write(f, f.relative_to(root))
-            sc.addPyFile(path)
+            fs.copyFromLocalFile(True, True, sc._jvm.org.apache.hadoop.fs.Path(f"file://{d}/{name}"), to)
+        fs.deleteOnExit(to)
+        sc.addPyFile(to.toString())
 
 
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
@@ -116,6 +125,20 @@ def trim() -> None:
         pass
 
 
+def in_order(df: DataFrame, name: str) -> DataFrame:
+    """``df``, written once, with consecutive numbers from 0 by partition and place as ``name``."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import Window as W
+
+    at, part, n, base = own_name(df, "at", "part", "n", "base")
+    rows = stored(df.withColumn(at, F.monotonically_increasing_id()), "numbered")  # partition in the upper bits, place below
+    rows = rows.withColumn(part, F.shiftright(at, 33))
+    sizes = rows.groupBy(part).agg(F.count(F.lit(1)).alias(n))  # one row a partition
+    before = F.coalesce(F.sum(n).over(W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    number = F.col(base) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(sizes.select(part, before.alias(base)), part).withColumn(name, number).select(name, *df.columns)
+
+
 def own_name(df: DataFrame, *stems: str) -> list[str]:
     """Column names that ``df`` doesn't have in any letter case, one for each stem."""
     taken, out = {c.lower() for c in df.columns}, []
