@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import stored
+from tessera.session import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs to (id, component), one row per id that has a link, with the smallest id reachable. Each
-    round is written to the shared folder; the loop ends when a round changes nothing."""
+    round is written to the shared folder in place of the one before; the loop ends when a round changes nothing. The result
+    reads the last round's table."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e, last = stored(e, "star"), None
     while True:
@@ -23,4 +24,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         j = large.join(small, large.a == small.u)
-        e = stored(j.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "star")
+        new = stored(j.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), "star")
+        discard(e)
+        e = new

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import chunks, column, span_hashes, text_only
+from tessera.session import map_arrow
 
 WINDOW, RUN, POPULAR = 64, 64, 16
 FILTER_BITS, PER_FILTER, HASHES = 2048, 160, 5
@@ -83,7 +84,7 @@ def entropy_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         k = np.flatnonzero(c)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(c[k], size))], ["q", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(docs.select("text"), run, "q long, n long").groupBy("q").agg(F.sum("n").alias("n")).collect()
     c, size = np.zeros(BUCKETS, np.int64), 0
     for r in rows:
         if r.q < 0:
@@ -277,7 +278,7 @@ def fingerprints(docs: DataFrame, part_bytes: int = 24 << 20) -> DataFrame:
                 ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(dealt, run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def op4(docs: DataFrame, **options) -> DataFrame:

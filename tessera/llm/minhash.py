@@ -14,7 +14,8 @@ within a component need no test. With 64 bands of 8 rows a pair at exactly 0.8 i
 
 Edge cases: null or empty texts, or ones of white space alone, have no shingles, link with nothing and are their own
 component; a null id takes no part in linking (null component, kept false; the pipeline stage retains such rows); rows
-that repeat an id are one node."""
+that repeat an id are one node; a very long text is shingled whole; an empty table gives no rows; op8 looks at doc_id and
+text alone, and the stage hands all other columns, whatever their names, through."""
 
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.text import chunks, column, mix, shingles, text_only
-from tessera.session import stored
+from tessera.session import importable, map_arrow, own_name, stored, trim
 
 BANDS, ROWS, UNIVERSE = 64, 8, 1 << 20
 K = BANDS * ROWS
@@ -92,7 +93,7 @@ def profile(docs: DataFrame, words: int = 2, seed: int = 11) -> DataFrame:
                 bits = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * WORDS), pa.array(occupancy(h, o).ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array((c1[o[1:]] - c1[o[:-1]]).view(np.int64)), pa.array((c2[o[1:]] - c2[o[:-1]]).view(np.int64)), bits, lists], ["doc_id", "n_shingles", "s1", "s2", "bits", "bands"])
 
-    return text_only(docs).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bits array<long>, bands array<long>")
+    return map_arrow(text_only(docs), run, "doc_id long, n_shingles long, s1 long, s2 long, bits array<long>, bands array<long>")
 
 
 def _overlaps(big: np.ndarray, h: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -135,7 +136,7 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80
                         hit[a:z] |= (100 * both >= percent * (n[a:z] + len(s) - both)) & (n[a:z] > 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(key[hit])], ["a", "b"])
 
-    return spread.mapInArrow(run, "a long, b long")
+    return map_arrow(spread, run, "a long, b long")
 
 
 def block_pairs(members: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80, block: int = 256) -> DataFrame:
@@ -189,8 +190,11 @@ def block_pairs(members: DataFrame, texts: DataFrame, words: int = 2, percent: i
         yield pa.RecordBatch.from_arrays([pa.array(ids[left[r]]), pa.array(ids[right[c]])], ["a", "b"])
 
     def group(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(run([x for x in table.to_batches() if x.num_rows]), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        out = pa.Table.from_batches(run([x for x in table.to_batches() if x.num_rows]), schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        trim()
+        return out
 
+    importable(rows.sparkSession)
     return rows.groupBy("bh", "x", "y").applyInArrow(group, "a long, b long")
 
 
@@ -209,7 +213,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
     wanted = members.select(F.col("id").alias("w")).distinct()
     texts = stored(slim.join(wanted, slim.doc_id == wanted.w, "left_semi"), "candidates")
     links = verify(pairs, texts, words, percent)
-    comp = stored(components(links), "components")
+    comp = components(links)
     tried, buckets = pairs, members.drop("hub")
     for r in range(1, star_rounds + 2):
         cc = comp.select(F.col("id").alias("x"), "component")
@@ -245,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
             star = comp.select(F.col("id").alias("a"), F.col("component").alias("b"))
             fresh = stored(fresh, "links")
             if fresh.limit(1).count():
-                comp = stored(components(star.unionByName(fresh)), "components")
+                comp = components(star.unionByName(fresh))
     cc = comp.select(F.col("id").alias("x"), "component")
     final = classes.join(cc, classes.rep == cc.x, "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n_shingles").alias("cn"), F.coalesce("component", "rep").alias("component"))
     p = prof.drop("bands", "bits")
@@ -262,12 +266,13 @@ def stage(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays, the one with the smallest id; documents without an id or without words stay.
     Where an id comes again its rows are told apart: of a group, the first by id, text hash and the other columns stays."""
     twice = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count()
+    row, gone_ = own_name(docs, "row", "gone")
     if not twice:
-        gone = near_duplicates(docs, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone"))
-        return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+        gone = near_duplicates(docs, words, percent).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(gone_))
+        return docs.join(gone, F.col("doc_id") == F.col(gone_), "left_anti")
     order = ["doc_id", F.sha2("text", 256), F.xxhash64(*docs.columns)]
     rows = docs.where("doc_id is not null").repartitionByRange(*order).sortWithinPartitions(*order)
-    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")  # ranges come in order, so do their numbers
-    gone = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    out = rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    rows = stored(rows.withColumn(row, F.monotonically_increasing_id()), "rows")  # ranges come in order, so do their numbers
+    gone = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone_))
+    out = rows.join(gone, F.col(row) == F.col(gone_), "left_anti").drop(row)
     return out.unionByName(docs.where("doc_id is null"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.text import column, text_only
 from tessera.llm.tokens import encoder
-from tessera.session import stored
+from tessera.session import map_arrow, stored
 
 END_ID = 2
 
@@ -170,7 +170,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_bytes: int = 16
             w = WaveletMatrix.build(np.concatenate(ids), np.concatenate(docs_), np.concatenate(counts))
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([len(w.doc_ids)]), pa.array([null]), pa.array([w.n]), pa.array([w.to_bytes()], pa.binary())], ["shard", "n_docs", "n_null", "n_tokens", "payload"])
 
-    return stored(dealt.mapInArrow(build, "shard int, n_docs long, n_null long, n_tokens long, payload binary"), "token-shards")
+    return stored(map_arrow(dealt, build, "shard int, n_docs long, n_null long, n_tokens long, payload binary"), "token-shards")
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 doc = pa.array(w.doc_ids, mask=np.arange(len(n)) < null)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), doc, pa.array(start), pa.array(n), pa.array(crc, pa.int64())], ["shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    return shards.select("shard", "n_null", "payload").mapInArrow(read, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return map_arrow(shards.select("shard", "n_null", "payload"), read, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
 def global_starts(shards: DataFrame) -> DataFrame:
