@@ -1,16 +1,20 @@
 """Exact top-k inner products with length ordering, rotation and residual bounds.
 
-Components become the integers floor(256 x). Rows are range-sorted by descending length; the Gram matrix of all rows (summed
-on the executors, dimension by dimension squared in size) gives the rotation that packs inner products into the first
-coordinates. A block of rows is skipped for a query if |q| times the block's largest length can't reach the query's k-th score;
-within a block, the product over the first rotated coordinates plus |q rest| |x rest| (Cauchy-Schwarz) rules rows out, and
-what is left is scored exactly in integers. Starting thresholds come from the bounded set of longest rows.
+Components become the integers floor(256 x). Rows are range-sorted by descending length into parts, queries into blocks; the
+Gram matrix of all rows (summed on the executors, dimension by dimension squared in size) gives the rotation that packs inner
+products into the first coordinates. A part is skipped for a block of queries, and a run of rows within it for a query, if |q|
+times the largest length there can't reach the query's k-th score; within a run, the product over the first rotated
+coordinates plus |q rest| |x rest| (Cauchy-Schwarz) rules rows out, and what is left is scored exactly in integers: pair by pair
+in slices where little is left, or as one product of matrices where the bound rules out too little to pay. Starting thresholds come from
+the bounded set of longest rows.
 
-Queries travel in blocks of bounded size against all rows; a partition returns at most k rows per query.
+Queries and rows meet on the executors, one task for a block and a part, both of bounded size; it returns at most k rows a
+query. Neither passes through the driver.
 
 Edge cases: vectors that are null, empty, or hold null or non-finite components take no part; vectors of other than the most frequent
-length are compared over zero padding; ties go to the smaller vec_id; repeated ids are separate rows, and a query excludes
-all rows of its own id; fewer rows than k give all."""
+length are compared over zero padding; ties go to the smaller vec_id; repeated ids are separate rows and separate queries, and a query excludes
+all rows of its own id; a null id takes no part; fewer rows than k give all; an empty table gives no rows; other columns, whatever
+their names, aren't looked at."""
 
 from __future__ import annotations
 
@@ -20,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.session import stored
+from tessera.session import map_arrow, stored, trim
 
 SCALE = 256
+NONE = np.int64(-(1 << 62))  # below any score
+PAIRS = 1 << 16
 
 
 def integral(vectors: DataFrame) -> DataFrame:
@@ -59,109 +65,116 @@ def gram(rows: DataFrame, dim: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim * dim)), pa.array(g.ravel())], ["i", "x"])
 
     out = np.zeros(dim * dim)
-    for r in rows.select("v").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+    for r in map_arrow(rows.select("v"), run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         out[r.i] = r.x
     return out.reshape(dim, dim)
 
 
-def _merge(best_s, best_i, scores, ids, k):
-    """Per-query best (scores descending, ids ascending) with new candidates of one query."""
-    s, i = np.concatenate([best_s, scores]), np.concatenate([best_i, ids])
-    o = np.lexsort((i, -s))[:k]
-    return s[o], i[o]
-
-
-def search_block(qid: np.ndarray, q: np.ndarray, floor_: np.ndarray, batches, dim: int, rot: np.ndarray, head: int, k: int, block: int = 1024):
-    """Best k rows per query among ``batches`` of (vec_id, v), or fewer where no row can beat the floor. Yields arrays."""
-    qn = np.sqrt((q.astype(float) ** 2).sum(1))
-    qr = q.astype(float) @ rot
-    q_head, q_rest = qr[:, :head], np.sqrt(np.maximum((qr[:, head:] ** 2).sum(1), 0))
-    bs, bi = [np.zeros(0, np.int64) for _ in q], [np.zeros(0, np.int64) for _ in q]
-    low = floor_.astype(float).copy()  # a row must reach this score to matter
-    for b in batches:
-        ids = b.column(0).to_numpy(zero_copy_only=False)
-        v = matrix(b.column(1), dim)
-        vn = np.sqrt((v.astype(float) ** 2).sum(1))
-        o = np.lexsort((ids, -vn))
-        for a in range(0, len(o), block):
-            w = o[a : a + block]
-            slack = 1e-6 * (1 + qn * vn[w[0]])
-            live = np.flatnonzero(qn * vn[w[0]] + slack >= low)
-            if not len(live):
-                break  # shorter rows follow
-            x = v[w]
-            xr = x.astype(float) @ rot
-            rest = np.sqrt(np.maximum((xr[:, head:] ** 2).sum(1), 0))
-            bound = q_head[live] @ xr[:, :head].T + q_rest[live][:, None] * rest[None, :] + slack[live][:, None]
-            r, c = np.nonzero(bound >= low[live][:, None])
-            if not len(r):
-                continue
-            exact = np.einsum("ij,ij->i", q[live][r], x[c])
-            ok = (exact >= low[live][r]) & (ids[w][c] != qid[live][r])
-            r, c, exact = r[ok], c[ok], exact[ok]
-            if not len(r):
-                continue
-            lead = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            for s, e in zip(lead, np.append(lead[1:], len(r)), strict=True):
-                j = live[r[s]]
-                bs[j], bi[j] = _merge(bs[j], bi[j], exact[s:e], ids[w][c[s:e]], k)
-                if len(bs[j]) == k:
-                    low[j] = max(low[j], float(bs[j][-1]))
-    n = [len(x) for x in bs]
-    if sum(n):
-        yield np.repeat(qid, n), np.concatenate(bi), np.concatenate(bs)
-
-
-def top_products(vectors: DataFrame, every: int = 50, k: int = 5, query_block: int = 4096, longest: int = 4096, part_rows: int = 50_000) -> DataFrame:
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """All exact inner products: by floating point where no sum can leave its integers."""
+    if len(q) and len(x) and q.shape[1] * float(np.abs(q).max()) * float(np.abs(x).max()) < 2.0**53:
+        return (q.astype(float) @ x.T.astype(float)).astype(np.int64)
+    return q @ x.T
+
+
+def thresholds(qid: np.ndarray, q: np.ndarray, tid: np.ndarray, tv: np.ndarray, k: int, rows: int = 1024) -> np.ndarray:
+    """Each query's k-th best score among the rows (tid, tv), or NONE where there are fewer."""
+    out = np.full(len(q), NONE)
+    for a in range(0, len(q) if len(tid) >= k else 0, rows):
+        s = products(q[a : a + rows], tv)
+        s[qid[a : a + rows, None] == tid[None, :]] = NONE
+        out[a : a + rows] = np.partition(s, len(tid) - k, axis=1)[:, -k]
+    return out
+
+
+def search(qid: np.ndarray, q: np.ndarray, low: np.ndarray, ids: np.ndarray, v: np.ndarray, rot: np.ndarray, head: int, k: int, run: int = 512, dense: float = 0.05) -> tuple[np.ndarray, ...]:
+    """(query's place, row id, score) of the best k rows (ids, v) a query, or fewer where no row reaches ``low``."""
+    low = low.copy()
+    below = np.nextafter(low.astype(float), -np.inf)
+    norm = lambda m: np.sqrt((m.astype(float) ** 2).sum(1))
+    qn, qr = norm(q), q.astype(float) @ rot
+    q_head, q_rest = qr[:, :head], norm(qr[:, head:])
+    best = tuple(np.zeros(0, np.int64) for _ in range(3))
+    vn = norm(v)
+    o = np.lexsort((ids, -vn))
+    for a in range(0, len(o), run):
+        w = o[a : a + run]
+        slack = 1e-6 * (1 + qn * vn[w[0]])
+        live = np.flatnonzero(qn * vn[w[0]] + slack >= below)
+        if not len(live):
+            break  # shorter rows follow
+        x, xi = v[w], ids[w]
+        xr = x.astype(float) @ rot
+        bound = q_head[live] @ xr[:, :head].T + np.outer(q_rest[live], norm(xr[:, head:])) + slack[live][:, None]
+        open_ = bound >= below[live][:, None]
+        if open_.mean() > dense:
+            s = products(q[live], x)
+            r, c = np.nonzero(open_ & (s >= low[live][:, None]))
+            exact = s[r, c]
+        else:
+            r, c = np.nonzero(open_)
+            exact = np.concatenate([np.zeros(0, np.int64), *[np.einsum("ij,ij->i", q[live[r[z : z + PAIRS]]], x[c[z : z + PAIRS]]) for z in range(0, len(r), PAIRS)]])
+        ok = (exact >= low[live][r]) & (xi[c] != qid[live][r])
+        new = live[r[ok]], xi[c[ok]], exact[ok]
+        if not len(new[0]):
+            continue
+        best = tuple(np.concatenate(z) for z in zip(best, new, strict=True))
+        by = np.lexsort((best[1], -best[2], best[0]))
+        best = tuple(z[by] for z in best)
+        nth = np.arange(len(by)) - np.searchsorted(best[0], best[0], side="left")
+        full = nth == k - 1
+        low[best[0][full]] = np.maximum(low[best[0][full]], best[2][full])
+        below = np.nextafter(low.astype(float), -np.inf)
+        best = tuple(z[nth < k] for z in best)
+    return best
+
+
+def top_products(vectors: DataFrame, every: int = 50, k: int = 5, query_block: int = 4096, longest: int = 4096, part_rows: int = 16_384) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose id is divisible by ``every``, against all rows but its own."""
     spark = vectors.sparkSession
-    rows = stored(integral(vectors), "vectors")
-    facts = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n")).collect()[0]
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if not facts.n:
-        return empty
+    rows = stored(integral(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    facts = rows.agg(F.max(F.size("v")).alias("dim"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).collect()[0]
+    if not facts.q:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     dim = facts.dim
     values, axes = np.linalg.eigh(gram(rows, dim))
     rot = axes[:, np.argsort(-values)]
     head = max(1, min(dim, dim // 4))
     top = rows.orderBy(F.desc("norm2"), "vec_id").select("vec_id", "v").limit(longest).toArrow()
     tid, tv = top.column(0).to_numpy(), matrix(top.column(1), dim)
-    ranged = rows.select("vec_id", "v", "norm2").repartitionByRange(max(1, -(-facts.n // part_rows)), F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id").select("vec_id", "v")
-    ranged = stored(ranged, "vectors-by-length")  # every block of queries reads it: one range shuffle in all
-    out = None
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v")
-    for qid, q in _blocks(queries, dim, query_block):
-        s = q @ tv.T
-        s[qid[:, None] == tid[None, :]] = np.iinfo(np.int64).min
-        floor_ = np.sort(s, axis=1)[:, -k] if len(tid) > k else np.full(len(q), np.iinfo(np.int64).min)
-        b = spark.sparkContext.broadcast((qid, q, np.maximum(floor_, -(1 << 62)), rot))  # at most query_block rows
-
-        def run(batches, b=b):
-            qid, q, floor_, rot = b.value
-            for x, y, z in search_block(qid, q, floor_, batches, dim, rot, head, k):
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(z)], ["query_id", "vec_id", "score"])
-
-        part = ranged.mapInArrow(run, "query_id long, vec_id long, score long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return empty
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _blocks(queries: DataFrame, dim: int, size: int):
-    """The queries in blocks of at most ``size`` distinct ids; repeated ids keep one (they have the same partners excluded, so the longest comes first)."""
-    ids, vs = [], []
-    for r in queries.orderBy("vec_id", "v").toLocalIterator():
-        if ids and r.vec_id == ids[-1]:
-            continue
-        if len(ids) == size:
-            yield np.array(ids, np.int64), np.array(vs, np.int64)
-            ids, vs = [], []
-        ids.append(r.vec_id)
-        vs.append(list(r.v) + [0] * (dim - len(r.v)))
-    if ids:
-        yield np.array(ids, np.int64), np.array(vs, np.int64)
+    by = [F.desc("norm2"), F.col("vec_id"), F.col("row")]  # many rows alike still fall into many parts
+    ranged = lambda d, size, n: stored(d.repartitionByRange(max(1, -(-n // size)), *by).withColumn("part", F.spark_partition_id()), "vectors-by-length")
+    refs = ranged(rows, part_rows, facts.n)
+    b = spark.sparkContext.broadcast((tid, tv))  # at most ``longest`` rows
+
+    def floors(batches):
+        tid, tv = b.value
+        for x in batches:
+            low = thresholds(x.column(1).to_numpy(), matrix(x.column(2), dim), tid, tv, k)
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(low)], ["q", "query_id", "v", "norm2", "block", "low"])
+
+    queries = ranged(rows.where(F.col("vec_id") % every == 0), query_block, facts.q).select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), "v", "norm2", F.col("part").alias("block"))
+    queries = stored(map_arrow(queries, floors, "q long, query_id long, v array<long>, norm2 double, block int, low long"), "queries")
+    # the parts that a block can't do without, by lengths alone
+    parts = refs.groupBy("part").agg(F.sqrt(F.max("norm2")).alias("most"))
+    blocks = queries.groupBy("block").agg(F.sqrt(F.max("norm2")).alias("long"), F.min("low").alias("least"))
+    n_parts = max(1, -(-facts.n // part_rows))
+    pairs = blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))).alias("p")).join(parts, F.col("p") == F.col("part"))
+    pairs = stored(pairs.where(F.col("long") * F.col("most") * (1 + 1e-6) + 1 >= F.col("least")).select(F.col("block").alias("b"), "p"), "block-parts")
+    left = queries.join(pairs, F.col("block") == F.col("b")).select("b", "p", "q", "query_id", "v", "low")
+    right = refs.join(pairs, F.col("part") == F.col("p")).select(F.col("b").alias("rb"), F.col("p").alias("rp"), "vec_id", "v")
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            return pa.table({"q": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        qid = x["query_id"].to_numpy()
+        r, i, s = search(qid, matrix(x["v"], dim), x["low"].to_numpy(), y["vec_id"].to_numpy(), matrix(y["v"], dim), rot, head, k)
+        trim()
+        return pa.table({"q": pa.array(x["q"].to_numpy()[r]), "query_id": pa.array(qid[r]), "vec_id": pa.array(i), "score": pa.array(s)})
+
+    found = left.groupBy("b", "p").cogroup(right.groupBy("rb", "rp")).applyInArrow(meet, "q long, query_id long, vec_id long, score long")
+    w = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10(vectors: DataFrame, **options) -> DataFrame:

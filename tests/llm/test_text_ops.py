@@ -340,6 +340,37 @@ def test_op10(spark, block):
     assert topk.op10(df.where("false")).count() == 0 and topk.op10(df.where("vec_id in (0, 1, 2)")).count() == 2
 
 
+def test_op10_repeated_ids_are_separate_queries(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm.queries import ORACLE
+
+    r = np.random.default_rng(9)
+    v = r.normal(0, 1, (300, 64)).astype(np.float32)
+    rows = [(int(i), [float(x) for x in v[k]]) for k, i in enumerate([*range(200), *[50] * 60, *range(300, 340)])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df.write.parquet(str(tmp_path / "e"))
+    got = topk.op10(df, part_rows=64, query_block=20, longest=30).collect()
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    want = duckdb.sql(ORACLE["op10_products"]).df()
+    assert sorted((x.query_id, x.rank, x.vec_id, x.score) for x in got) == sorted(map(tuple, want[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist()))
+    assert sum(x.query_id == 50 for x in got) == 61 * 5
+
+
+def test_search_memory_on_vectors_without_structure():
+    import tracemalloc
+
+    r = np.random.default_rng(3)
+    x, q = r.normal(0, 256, (20_000, 64)).astype(np.int64), r.normal(0, 256, (4096, 64)).astype(np.int64)
+    low = topk.thresholds(np.arange(4096) - 5000, q, np.arange(50), x[:50], 5)
+    tracemalloc.start()
+    row, _, score = topk.search(np.arange(4096) - 5000, q, low, np.arange(20_000), x, np.eye(64), 16, 5)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    for k in (0, 77, 4095):
+        assert score[row == k].tolist() == np.sort(x @ q[k])[::-1][:5].tolist()
+
+
 def test_columns_of_arrow_slices():
     a = pa.array(["ab", None, "", "é"])
     for arr in (a, a.slice(1), pa.chunked_array([a, a])):
