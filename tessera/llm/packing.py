@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.text import column, text_only
+from tessera.llm.text import chunks, column, text_only
 from tessera.llm.tokens import encoder
 from tessera.session import map_arrow, stored
 
@@ -203,28 +203,31 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
 
     def cut(batches):
         e, seen, task = encoder(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for b in batches:
-            flat, o = e.encode(*column(b.column(1)))
-            n = np.diff(o) + 1
-            ids = np.insert(flat.astype("<u4"), o[1:], end_id)
-            at = np.cumsum(n) - n
-            k = -(-n // capacity)
-            row = np.repeat(np.arange(len(n)), k)
-            piece = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
-            head = n - (k - 1) * capacity
-            start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
-            length = np.where(piece == 0, head[row], capacity)
-            a = at[row] + start
-            crc = [zlib.crc32(ids[x : x + y]) for x, y in zip(a, length, strict=True)]
-            s = np.argsort(length, kind="stable")
-            nth = np.empty(len(s), np.int64)
-            nth[s] = np.arange(len(s)) - np.searchsorted(length[s], length[s], side="left")
-            nth += seen[length]
-            seen += np.bincount(length, minlength=capacity + 1)
-            cols = [b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task, np.int32)), pa.array(nth)]
-            if with_ids:
-                cols.append(pa.array([ids[x : x + y].tolist() for x, y in zip(a, length, strict=True)], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(cols, names)
+        for whole in batches:
+            buf, off = column(whole.column(1))
+            for i, j in chunks(off, 4 << 20):  # bounds what a task holds beside the batch
+                b = whole.slice(i, j - i)
+                flat, o = e.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                n = np.diff(o) + 1
+                ids = np.insert(flat.astype("<u4"), o[1:], end_id)
+                at = np.cumsum(n) - n
+                k = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), k)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+                head = n - (k - 1) * capacity
+                start = np.where(piece == 0, 0, head[row] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[row], capacity)
+                a = at[row] + start
+                crc = [zlib.crc32(ids[x : x + y]) for x, y in zip(a, length, strict=True)]
+                s = np.argsort(length, kind="stable")
+                nth = np.empty(len(s), np.int64)
+                nth[s] = np.arange(len(s)) - np.searchsorted(length[s], length[s], side="left")
+                nth += seen[length]
+                seen += np.bincount(length, minlength=capacity + 1)
+                cols = [b.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task, np.int32)), pa.array(nth)]
+                if with_ids:
+                    cols.append(pa.array([ids[x : x + y].tolist() for x, y in zip(a, length, strict=True)], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"] + ["ids"] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids array<long>" * with_ids

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.text import column, text_only
+from tessera.llm.text import chunks, column, text_only
 from tessera.llm.tokens import encoder
 from tessera.session import map_arrow, stored
 
@@ -159,11 +159,12 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_bytes: int = 16
         e = encoder(path)
         ids, docs_, null, counts = [], [], 0, []
         for b in batches:
-            flat, o = e.encode(*column(b.column(1)))
-            k = np.diff(o)
-            out = np.insert(flat.astype(np.uint32), o[1:], end_id)
-            ids.append(out.astype(np.uint16) if not len(out) or out.max() < 65536 else out)
-            counts.append(k + 1)
+            buf, off = column(b.column(1))
+            for i, j in chunks(off, 4 << 20):  # bounds what a task holds beside its batch and shard
+                flat, o = e.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+                out = np.insert(flat.astype(np.uint32), o[1:], end_id)
+                ids.append(out.astype(np.uint16) if not len(out) or out.max() < 65536 else out)
+                counts.append(np.diff(o) + 1)
             null += b.column(0).null_count
             docs_.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False))
         if ids and sum(map(len, docs_)):

@@ -111,3 +111,30 @@ def test_program_covers_all_demand(scale):
     cover = sum(x * np.bincount(c, minlength=513) for c, x in got)
     assert np.allclose(cover, d)
     assert sum(x for _, x in got) <= 1.02 * (d * np.arange(513)).sum() / 512
+
+
+def large_histograms():
+    r = np.random.default_rng(1)
+    yield "few lengths", np.bincount(r.choice([683, 690, 700, 1030, 1100, 500, 420], 250_000), minlength=2049), 1.006
+    yield "all lengths", np.bincount(np.clip(r.lognormal(6, 1, 250_000), 1, 2047).astype(int), minlength=2049), 1.001
+
+
+@pytest.mark.parametrize(("name", "demand", "most"), large_histograms(), ids=["few", "all"])
+def test_the_program_packs_large_histograms(name, demand, most):
+    solution, bound = packing.solve(demand, 2048)
+    cover = sum(x * np.bincount(c, minlength=2049) for c, x in solution)
+    assert (cover >= demand * (1 - 1e-9)).all() and all(sum(c) <= 2048 for c, _ in solution)
+    assert bound >= np.arange(2049) @ demand / 2048 - 1e-6 and sum(x for _, x in solution) <= bound * most
+    left = demand.astype(np.int64).copy()
+    kept = packing.rounded(solution, left)
+    held = sum(m * np.bincount(c, minlength=2049) for c, m in kept)
+    assert (held + left == demand).all() and held.sum() >= 0.95 * demand.sum()  # the program's columns hold nearly all pieces
+    bins = sum(m for _, m in packing.plan(demand))
+    assert bound <= bins <= bound * most + 1
+    assert bins <= sum(m for _, m in packing.best_fit(demand, 2048))
+
+
+def test_best_fit_uses_the_room_of_bins_begun():
+    left = np.zeros(11, np.int64)
+    left[[3, 4]] = 2, 1
+    assert sorted(packing.best_fit(left, 10, [((7,), 2), ((6,), 1)])) == [((6, 4), 1), ((7, 3), 2)]
