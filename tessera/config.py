@@ -32,6 +32,7 @@ class Settings:
     n_probe: int = 2
     max_cluster: int = 512
     kmeans_iters: int = 18
+    kmeans_sample: int = 131_072
     split_iters: int = 10
     seed: int = 42
     metric: str = "EUCLIDEAN"
@@ -39,6 +40,7 @@ class Settings:
     exact_repair: bool = True
     early_stop: bool = False
     dev_fallback: bool = False
+    timings: bool = False
     query_block: int = 4096
     scales: Mapping[str, float] = field(default_factory=lambda: dict(DEFAULT_SCALES))
 
@@ -64,4 +66,5 @@ class Settings:
             n_probe=num("IVF_NPROBE", int, d.n_probe, 1), max_cluster=num("IVF_MAX_CLUSTER", int, d.max_cluster, 1), seed=num("SEED", int, d.seed),
             metric=env.get("DISTANCE_METRIC", "").strip() or d.metric, index=env.get("VECTOR_INDEX", "").strip() or d.index,
             exact_repair=flag("EXACT_REPAIR", d.exact_repair), early_stop=flag("EARLY_STOP", d.early_stop), dev_fallback=flag("DEV_FALLBACK", d.dev_fallback),
+            timings=flag("PERF_LOG", d.timings),
         )

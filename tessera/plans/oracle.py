@@ -85,6 +85,7 @@ def _sum(f: str) -> str:
 _DOT, _NQ, _NR = (_sum(x) for x in ("q.v[i]*r.v[i]", "q.v[i]*q.v[i]", "r.v[i]*r.v[i]"))
 _SQ = _knn(_sum("(q.v[i]-r.v[i])*(q.v[i]-r.v[i])"))
 _TOP = "SELECT query_id, ref_id, label, dist, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, ref_id) AS INT) AS rank FROM"
+_TOP_IN_FILE = _TOP.replace("dist, ref_id) AS INT", "dist, cluster_id, ref_id) AS INT")  # the containers number rows by cluster and id
 _EXACT = f"WITH {_NEAR} SELECT query_id, ref_id, label, dist, rank FROM near"
 _JSON = "'{\"approved\":' || CASE WHEN approved THEN 'true' ELSE 'false' END || ',\"fraud_score\":' || CAST(fraud_score AS VARCHAR) || '}'"
 _AFF = f"""WITH e AS (SELECT vec_id, {_E} AS v FROM embeddings), p AS (SELECT min(list_min(v)) AS lo, max(list_max(v)) AS hi FROM e),
@@ -93,6 +94,27 @@ l AS (SELECT vec_id, unnest(range(64)) AS dim, unnest(v) AS x FROM e),
 q AS (SELECT vec_id, dim, CAST(least(greatest({_half('(x - ce) / st')}, -32767), 32767) AS INT) AS q, ce, st FROM l, c)
 SELECT vec_id, CAST(dim AS INT) AS dim, q, q * st + ce AS back FROM q"""
 
+
+def _rounds(n: int) -> str:
+    out = [_CEN]
+    for i in range(n):
+        prev = f"cen{i}" if i else "cen"
+        out.append(f"a{i} AS (SELECT vec_id, cluster_id FROM (SELECT e.vec_id, c.cluster_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {_dist('e', 'c', E_COLS)}, c.cluster_id) AS rn FROM emb e, {prev} c) WHERE rn = 1)")
+        mean = ", ".join(f"CAST(floor(CAST(sum({c}) AS DOUBLE) / count(*) + 0.5e0) AS BIGINT) AS {c}" for c in E_COLS)
+        out.append(f"cen{i + 1} AS (SELECT cluster_id, {mean} FROM a{i} JOIN emb USING (vec_id) GROUP BY 1 UNION ALL SELECT cluster_id, {', '.join(E_COLS)} FROM {prev} WHERE cluster_id NOT IN (SELECT cluster_id FROM a{i}))")
+    return ",\n".join(out)
+
+
+_F32 = "CAST({} AS FLOAT)".format
+_LATTICE = f"""rf AS (SELECT * FROM asg WHERE vec_id % 25 <> 0),
+rg AS (SELECT {_F32(f"least({', '.join(f'min({c})' for c in E_COLS)}) / 1e4")} AS lo, {_F32(f"greatest({', '.join(f'max({c})' for c in E_COLS)}) / 1e4")} AS hi FROM rf),
+pm AS (SELECT (hi + lo) / {_F32(2)} AS ce, CASE WHEN hi = lo THEN {_F32(1)} ELSE (hi - lo) / {_F32(65534)} END AS st FROM rg),
+mn AS (SELECT cluster_id, {', '.join(f"CAST({_F32(f'(CAST(sum({c}) AS DOUBLE) / count(*)) / 1e4')} AS DOUBLE) AS {c}" for c in E_COLS)} FROM rf GROUP BY 1),
+lt AS (SELECT vec_id, label, cluster_id, {', '.join(f"CAST(least(greatest(floor(({_F32(f'{c} / 1e4')} - ce) / st + {_F32(0.5)}), -32767), 32767) AS BIGINT) AS {c}" for c in E_COLS)} FROM asg, pm),
+qp AS (SELECT query_id, cluster_id, probe FROM (SELECT e.vec_id AS query_id, m.cluster_id, row_number() OVER (PARTITION BY e.vec_id ORDER BY {' + '.join(f'(e.{c} / 1e4 - m.{c}) * (e.{c} / 1e4 - m.{c})' for c in E_COLS)}, m.cluster_id) AS probe
+ FROM emb e, mn m WHERE e.vec_id % 25 = 0) WHERE probe <= 4),
+hits AS (SELECT p.query_id, p.probe, p.cluster_id, r.vec_id AS ref_id, r.label, {_dist('q', 'r', E_COLS)} AS dist FROM qp p JOIN lt q ON q.vec_id = p.query_id JOIN lt r ON r.cluster_id = p.cluster_id AND r.vec_id % 25 <> 0)"""
+
 ORACLE = {
     "flagship_score": f"WITH {_NEAR} SELECT query_id, fraud_count, dist_sum, fraud_score, approved FROM sc",
     "features_vector": f"WITH {_FEAT} SELECT event_id, {', '.join(FEATURES)} FROM feat",
@@ -125,6 +147,15 @@ done AS (SELECT query_id FROM ht GROUP BY 1 HAVING count(*) = 5 AND min(label) =
 f AS ({_scan('p.query_id NOT IN (SELECT query_id FROM done)')})
 SELECT * FROM ht WHERE query_id IN (SELECT query_id FROM done) UNION ALL SELECT * FROM ({_TOP} f) WHERE rank <= 5""",
     "ivf_exact": _EXACT,
+    "kmeans_rounds": f"WITH {_rounds(2)} SELECT CAST(cluster_id AS INT) AS cluster_id, CAST(unnest(range(64)) AS INT) AS dim, unnest([{', '.join(E_COLS)}]) AS value FROM cen2",
+    "ivf_q16": f"WITH {_ASG},\n{_LATTICE} SELECT * FROM ({_TOP_IN_FILE} hits) WHERE rank <= 5",
+    "ivf_q16_early": f"""WITH {_ASG},
+{_LATTICE}, nq AS (SELECT query_id, greatest(1, (max(probe) + 1) // 2) AS half, max(probe) AS most FROM qp GROUP BY 1),
+lv AS (SELECT nq.query_id, unnest(range(half, most + 1)) AS last, most FROM nq),
+lh AS (SELECT lv.query_id, last, most, ref_id, label, dist, row_number() OVER (PARTITION BY lv.query_id, last ORDER BY dist, h.cluster_id, ref_id) AS rn FROM lv JOIN hits h ON h.query_id = lv.query_id AND h.probe <= last),
+st AS (SELECT query_id, last, most, count(*) = 5 AND min(label) = max(label) AS stop FROM lh WHERE rn <= 5 GROUP BY 1, 2, 3),
+en AS (SELECT query_id, coalesce(min(last) FILTER (WHERE stop), max(most)) AS last FROM st GROUP BY 1)
+SELECT lh.query_id, ref_id, label, dist, CAST(rn AS INT) AS rank FROM lh JOIN en USING (query_id, last) WHERE rn <= 5""",
     "fraud_count": f"WITH {_NEAR} SELECT query_id, fraud_count, unanimous FROM sc",
     "decision": f"WITH {_NEAR} SELECT query_id, fraud_score, approved FROM sc",
     "response_json": f"WITH {_NEAR} SELECT query_id, {_JSON} AS response FROM sc",

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,11 +15,11 @@ from tessera.operators import evaluate as ev
 from tessera.operators import ivf as iv
 from tessera.operators.features import GRID_COLUMNS as G
 from tessera.operators.features import parse_requests, to_grid, vectorize
-from tessera.operators.knn import knn_grid, knn_join
+from tessera.operators.knn import knn_grid, knn_join, matrix
 from tessera.operators.quantize import quantize
 from tessera.operators.score import decide, fraud_count, respond
 from tessera.plans.adapter import SCALES, featured, gridded, risk_table, split, transactions
-from tessera.session import stored, table
+from tessera.session import at_exit, in_order, shared_dir, stored, table
 
 E_DIM = 64
 E_COLS = [f"e{i}" for i in range(E_DIM)]
@@ -103,10 +106,9 @@ def _start_centroids(spark, d, n: int = 10) -> DataFrame:
 
 
 def _assigned(spark, d) -> DataFrame:
-    g, c = _emb_grid(spark, d), _start_centroids(spark, d)
-    x = g.crossJoin(F.broadcast(c)).withColumn("dist", S.grid_l2([F.col(k) for k in E_COLS], [F.col(f"c_{k}") for k in E_COLS]))
-    best = x.groupBy("vec_id").agg(F.min(F.struct("dist", "cluster_id")).alias("b")).select("vec_id", F.col("b.cluster_id").alias("cluster_id"), F.col("b.dist").alias("dist"))
-    return g.join(best, "vec_id")
+    """Each row's nearest starting centroid and the integer distance, found where the row is."""
+    c = _start_centroids(spark, d).orderBy("cluster_id").toArrow()  # ten rows
+    return iv.assign(_emb_grid(spark, d), E_COLS, matrix([c[f"c_{x}"] for x in E_COLS]), dist="dist")
 
 
 def centroid_assign(spark, d):
@@ -172,15 +174,61 @@ def early_stop_unanimous(spark, d):
     return iv.Ivf(ix.rows, _start_centroids(spark, d), E_COLS, 4).early_stop(q).select("query_id", "ref_id", "label", "dist", "rank")
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, d) -> tuple[iv.Ivf, DataFrame]:
+    """The events' index and its queries, built and saved once an application, then loaded."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _built:
+        q, r = split(stored(gridded(spark, d), "grid"))
+        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        iv.build_ivf(r, G, n_centroids=64, iters=4).save(path)
+        q.write.parquet(f"{path}/queries")
+        at_exit(spark, path)
+        _built[key] = path
+    return iv.load_ivf(spark, _built[key]), spark.read.parquet(f"{_built[key]}/queries")
+
+
 def ivf_exact(spark, d):
-    q, r = split(stored(gridded(spark, d), "grid"))
-    return iv.build_ivf(r, G, n_centroids=64, iters=4).exact(q).select("query_id", "ref_id", "label", "dist", "rank")
+    ix, q = _index(spark, d)
+    return ix.exact(q).select("query_id", "ref_id", "label", "dist", "rank")
 
 
 def kmeans_build(spark, d):
     """Built clusters: sizes and exclusive starts."""
-    _, r = split(stored(gridded(spark, d), "grid"))
-    return iv.build_ivf(r, G, n_centroids=64, iters=4).clusters.select("cluster_id", "n", "start")
+    return _index(spark, d)[0].clusters.select("cluster_id", "n", "start")
+
+
+def kmeans_rounds(spark, d):
+    """Two rounds over all rows from the first ten, centroids rounded to the grid."""
+    start = matrix(_start_centroids(spark, d).orderBy("cluster_id").select(*[f"c_{c}" for c in E_COLS]).toArrow().columns)
+    c = iv.kmeans(_emb_grid(spark, d), E_COLS, 10, 2, start=start, whole=True)
+    rows = [(i, j, int(x)) for i, v in enumerate(c) for j, x in enumerate(v)]
+    return spark.createDataFrame(rows, "cluster_id int, dim int, value long")
+
+
+def _q16(spark, d, stop_early: bool) -> DataFrame:
+    """Clusters around the first ten rows, written as the two containers and read back as the quantised index."""
+    from tessera.tools import write_containers
+
+    ix, q = _emb_index(spark, d)
+    folder = f"{shared_dir(spark).removeprefix('file:').replace('//', '/')}/q16-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    at_exit(spark, folder)
+    write_containers(ix, f"{folder}/rows.idx", f"{folder}/rows.qbin")
+    q16 = iv.load_ivf_q16(spark, f"{folder}/rows.idx", f"{folder}/rows.qbin", E_COLS, 4, stop_early)
+    ids = in_order(ix.rows.orderBy("cluster_id", "ref_id").select(F.col("ref_id").alias("vec_id")), "ref_id")
+    # the container numbers rows by cluster and id
+    return q16.search(q).join(ids, "ref_id").select("query_id", F.col("vec_id").alias("ref_id"), "label", "dist", "rank")
+
+
+def ivf_q16(spark, d):
+    return _q16(spark, d, False)
+
+
+def ivf_q16_early(spark, d):
+    return _q16(spark, d, True)
 
 
 def fraud_counts(spark, d):
@@ -247,6 +295,6 @@ QUERIES = {
     "dist_l1": _knn("MANHATTAN"), "dist_cosine": _knn("COSINE"), "knn_exact": _knn("EUCLIDEAN_SIMD"), "knn_grid": knn_grid_events, "centroid_assign": centroid_assign,
     "kmeans_step": kmeans_step, "cluster_bbox": cluster_bbox, "cluster_sizes": cluster_sizes, "row_in_cluster": row_in_cluster, "bbox_lower_bound": bbox_lower_bound,
     "ivf_probe": ivf_probe, "unprobed_clusters": unprobed_clusters, "ivf_search": ivf_search, "early_stop_unanimous": early_stop_unanimous, "ivf_exact": ivf_exact,
-    "kmeans_build": kmeans_build, "fraud_count": fraud_counts, "decision": decision, "response_json": response_json, "confusion": confusion, "feature_stats": feature_stats,
+    "kmeans_build": kmeans_build, "kmeans_rounds": kmeans_rounds, "ivf_q16": ivf_q16, "ivf_q16_early": ivf_q16_early, "fraud_count": fraud_counts, "decision": decision, "response_json": response_json, "confusion": confusion, "feature_stats": feature_stats,
     "failures": failures, "zip_eval": zip_eval, "synthetic_vectors": synthetic_vectors, "score_requests": score_requests,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
+from tessera.session import in_order, map_arrow
 from tessera.sources.binary import read_vectors
 
 DIM = 14
@@ -26,9 +27,7 @@ def validate(raw: DataFrame, dim: int = DIM) -> DataFrame:
 
 def numbered(df: DataFrame) -> DataFrame:
     """Consecutive ref_id by file order: the position in the input."""
-    spark = df.sparkSession
-    rows = df.rdd.zipWithIndex().map(lambda p: (p[1], *p[0]))
-    return spark.createDataFrame(rows, "ref_id long, v array<float>, label int")
+    return in_order(df, "ref_id")
 
 
 def gunzip_by_content(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +39,7 @@ def gunzip_by_content(spark: SparkSession, path: str) -> DataFrame:
                 data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
                 yield pa.RecordBatch.from_arrays([pa.array([data.decode("utf-8")])], ["value"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "value string")
+    return map_arrow(spark.read.format("binaryFile").load(path).select("content"), lines, "value string")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import gzip
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +107,46 @@ def test_stream(spark, tmp_path):
     q = score_stream(spark, str(tmp_path / "in"), ix, lambda df, i: seen.extend(df.collect()), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert {r.id: r.approved for r in seen} == {"a": False, "b": False, None: None}
+
+
+def test_tools_from_file_to_answer(spark, tmp_path, capsys):
+    from tessera import tools
+    from tessera.config import Settings
+    from tessera.operators.features import GRID_COLUMNS
+    from tessera.operators.ivf import load_ivf, load_ivf_q16
+    from tessera.sources.binary import read_vectors, vector_at
+
+    rng = np.random.default_rng(2)
+    v = np.round(rng.random((400, 14)), 4)
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps({"vector": x.tolist(), "label": "fraud" if i % 6 == 0 else "legit"}) for i, x in enumerate(v)))
+    source, s = str(tmp_path / "r.jsonl"), Settings(n_centroids=8, max_cluster=100, kmeans_iters=3, timings=True)
+    assert tools.convert_dataset(spark, source, str(tmp_path / "r.bin")) == 400
+    assert tools.quantize_dataset(spark, str(tmp_path / "r.bin"), str(tmp_path / "r.qbin")) == 400
+    refs = read_vectors(spark, str(tmp_path / "r.bin"))
+    assert np.allclose(vector_at(refs, 17), v[17], atol=1e-6) and vector_at(refs, 400) is None
+    index = tools.build_index(spark, str(tmp_path / "r.bin"), str(tmp_path / "ix"), s, str(tmp_path / "i.idx"), str(tmp_path / "i.qbin"))
+    assert "[perf] build" in capsys.readouterr().out
+    assert tools.ready(load_ivf(spark, str(tmp_path / "ix"))) and not tools.ready(None)
+    assert tools.warm_up(index, refs, Settings(), 50) > 20
+    q16 = load_ivf_q16(spark, str(tmp_path / "i.idx"), str(tmp_path / "i.qbin"), GRID_COLUMNS, 3)
+    assert tools.warm_up(q16, refs, Settings(), 50) > 20
+
+
+def test_numbers_by_partition_and_place(spark):
+    from tessera.session import in_order
+
+    df = spark.range(0, 1000, 1, 7).select(F.col("id").cast("string").alias("at"))
+    assert [(r.line, r.at) for r in in_order(df, "line").orderBy("line").collect()] == [(i, str(i)) for i in range(1000)]
+
+
+def test_evaluator_uses_the_probing_search(spark, tmp_path):
+    from tessera.operators.evaluate import evaluate, read_lines
+    from tests.test_features import A, B
+
+    cols = [f"g{i}" for i in range(14)]
+    refs = spark.range(50).select(F.col("id").alias("ref_id"), F.lit(1).alias("label"), *[(F.col("id") * (i + 3) % 10000).cast("int").alias(c) for i, c in enumerate(cols)])
+    ix = build_ivf(refs, cols, n_centroids=3, iters=2)
+    (tmp_path / "in").write_text("\n".join([json.dumps(A), "{broken", "", json.dumps(B), json.dumps(A)]))
+    (tmp_path / "out").write_text("true\nfalse\nfalse\n")
+    got = evaluate(read_lines(spark, str(tmp_path / "in")), read_lines(spark, str(tmp_path / "out")), ix).orderBy("query_id").collect()
+    assert [(r.query_id, r.expected, r.predicted, r.group, len(r.neighbors)) for r in got] == [(0, True, False, "FP", 5), (2, False, False, "TP", 5)]
