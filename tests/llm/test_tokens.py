@@ -25,7 +25,7 @@ def test_encoder_equals_library():
 
 def test_wavelet_operations():
     r = np.random.default_rng(0)
-    for ids in (r.integers(0, 300, 5000), np.array([7]), np.zeros(100, int), np.array([70000, 3])):
+    for ids in (r.integers(0, 300, 5000), r.integers(0, 9, 8 * wavelet.BLOCK), r.integers(0, 70000, 90_000), np.array([7]), np.zeros(100, int), np.array([70000, 3])):
         w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, [1], [len(ids)]).to_bytes())
         assert w.decode().tolist() == ids.tolist()
         at = r.integers(0, len(ids), 50)
@@ -37,6 +37,30 @@ def test_wavelet_operations():
         wavelet.WaveletMatrix.from_bytes(b"XXXX" + bytes(20))
 
 
+def test_a_shard_file_is_queried_by_its_blocks(spark, tmp_path):
+    r = np.random.default_rng(3)
+    texts = [(i, " ".join(f"w{x}" for x in r.integers(0, 5000, 4000)), "en", "a", 0, 0) for i in range(60)]
+    shards = wavelet.write_shards(spark.createDataFrame(texts, DOCS).repartition(2), shard_bytes=600_000)
+    files = wavelet.write_files(shards, str(tmp_path / "out")).orderBy("shard").collect()
+    assert len(files) > 1 and [f.size for f in files] == [(tmp_path / "out" / f"shard-{f.shard:06d}.wmx").stat().st_size for f in files]
+    ids = np.concatenate([x for _, x in expected(texts, 2)])
+    start = 0
+    for f in files:
+        w, read = wavelet.WaveletMatrix.from_file(f.file), []
+        plain = w.read
+        w.read = lambda at, size, plain=plain, read=read: read.append(size) or plain(at, size)
+        mine = ids[start : start + w.n]
+        assert w.n > 8 * wavelet.BLOCK and w.access(5).tolist() == mine[5:6].tolist()
+        assert sum(read) < f.size / 4  # a few blocks of each plane
+        at = r.integers(0, w.n, 200)
+        assert w.access(at).tolist() == mine[at].tolist()
+        for t in (2, int(mine[7]), int(mine[-2])):
+            assert w.locate(t).tolist() == np.flatnonzero(mine == t).tolist() and w.count(t, 100, w.n - 9) == int((mine[100 : w.n - 9] == t).sum())
+        assert (w.decode() == mine).all()
+        start += w.n
+    assert start == len(ids)
+
+
 def expected(rows, end):
     tok = encoder().tok
     return [(r[0], [*tok.encode(r[1] or "", add_special_tokens=False).ids, end]) for r in rows]
@@ -119,7 +143,7 @@ def large_histograms():
     yield "all lengths", np.bincount(np.clip(r.lognormal(6, 1, 250_000), 1, 2047).astype(int), minlength=2049), 1.001
 
 
-@pytest.mark.parametrize(("name", "demand", "most"), large_histograms(), ids=["few", "all"])
+@pytest.mark.parametrize(("name", "demand", "most"), list(large_histograms()), ids=["few", "all"])
 def test_the_program_packs_large_histograms(name, demand, most):
     solution, bound = packing.solve(demand, 2048)
     cover = sum(x * np.bincount(c, minlength=2049) for c, x in solution)
