@@ -11,7 +11,8 @@ Entropy sums are kept as scaled integers, so a window's value doesn't depend on
 
 Edge cases: an empty or null text has no features (digest ``sd1:0::``); a text shorter than a window has itself as its
 one feature. Equal digests have likeness 1, an empty and a non-empty one 0. Null ids order below all others, repeated ids by text
-hash; the only row of a table is its own next row."""
+hash; the only row of a table is its own next row; a text of any length is fingerprinted whole; an empty table gives no rows;
+other columns, whatever their names, aren't looked at."""
 
 from __future__ import annotations
 
@@ -219,25 +220,36 @@ def edit(text: str, following: str) -> str:
 
 
 def _dealt(slim: DataFrame, parts: int) -> tuple[DataFrame, int]:
-    """Rows dealt by descending id into parts, each part also holding the first row of the part that follows (halo)."""
+    """Rows dealt by descending id into parts, each part also holding the first row of the part that follows (halo). An id that
+    fills several parts by itself (null, say) has its rows dealt by text hash among parts of its own."""
     from pyspark.ml.feature import Bucketizer
 
     low = -(1 << 63)
-    d = slim.withColumn("key", F.coalesce("doc_id", F.lit(low)))
+    d = slim.withColumns({"key": F.coalesce("doc_id", F.lit(low)), "h": F.xxhash64("text")})
     cuts = d.agg(F.percentile_approx("key", F.array(*[F.lit(k / parts) for k in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5)), 10_000)).collect()[0][0]
-    cuts = sorted({float(x) for x in cuts or []}) if parts > 1 else []
+    quantiles = [float(x) for x in cuts or []] if parts > 1 else []
+    heavy = {x: quantiles.count(x) + 1 for x in set(quantiles) if quantiles.count(x) > 1}
+    cuts = sorted({*quantiles, *(float(np.nextafter(x, np.inf)) for x in heavy)})
     d = d.withColumn("k", F.col("key").cast("double"))
     d = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="k", outputCol="p", handleInvalid="keep").transform(d) if cuts else d.withColumn("p", F.lit(0.0))
+    lanes = [heavy.get(x, 1) for x in [None, *cuts]]  # of each range of ids, in ascending order
+    first = np.cumsum([0, *lanes])
+    if heavy:
+        share = F.col("h") / float(1 << 64) + 0.5  # of the hashes below this one
+        of = F.element_at(F.array(*[F.lit(int(x)) for x in lanes]), F.col("p").cast("int") + 1)
+        base = F.element_at(F.array(*[F.lit(int(x)) for x in first]), F.col("p").cast("int") + 1)
+        d = d.withColumn("p", base + F.least(F.floor(share * of), of - 1))
     d = d.withColumn("p", F.col("p").cast("int")).drop("k")
-    tops = {r.p: r.top for r in d.groupBy("p").agg(F.max("key").alias("top")).collect()}  # one row a part
+    tops = {r.p: r.top for r in d.groupBy("p").agg(F.max(F.struct("key", "h")).alias("top")).collect()}  # one row a part
     order = sorted(tops)
-    rows = [(p, tops[p], order[i + 1] if i + 1 < len(order) else order[0]) for i, p in enumerate(order)]
-    halo = d.sparkSession.createDataFrame(rows, "hp int, top long, above int")
+    rows = [(p, tops[p].key, tops[p].h, order[i + 1] if i + 1 < len(order) else order[0]) for i, p in enumerate(order)]
+    halo = d.sparkSession.createDataFrame(rows, "hp int, top long, top_h long, above int")
     d = d.join(F.broadcast(halo), d.p == halo.hp)
     own = F.struct(F.col("p").alias("part"), F.lit(0).alias("halo"))
-    d = d.withColumn("x", F.explode(F.when(F.col("key") == F.col("top"), F.array(own, F.struct(F.col("above").alias("part"), F.lit(1).alias("halo")))).otherwise(F.array(own))))
-    d = d.select("x.part", "x.halo", "key", "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
-    n = len(cuts) + 1
+    leads = (F.col("key") == F.col("top")) & (F.col("h") == F.col("top_h"))
+    d = d.withColumn("x", F.explode(F.when(leads, F.array(own, F.struct(F.col("above").alias("part"), F.lit(1).alias("halo")))).otherwise(F.array(own))))
+    d = d.select("x.part", "x.halo", "key", "doc_id", F.coalesce("text", F.lit("")).alias("text"), "h")
+    n = int(first[-1])
     return d.repartitionById(n, F.col("part")).sortWithinPartitions("part", "halo", F.desc("key"), F.desc("h")), n
 
 

@@ -56,6 +56,30 @@ def test_op4(spark, part_bytes):
     assert min(x for x, _ in near) > 0.4 and max(x for _, x in near) < 0.35
 
 
+def test_op4_deals_one_hot_id_among_parts(spark):
+    r = random.Random(9)
+    rows = [(None if i % 2 else i, prose(r, 30), "a") for i in range(600)]
+    df = make(spark, rows)
+    dealt, n = fingerprint._dealt(fingerprint.text_only(df), 12)
+    sizes = [x["count"] for x in dealt.where("doc_id is null and halo = 0").groupBy("part").count().collect()]
+    assert len(sizes) >= 6 and max(sizes) <= 100
+    part = -(-sum(len(t) for _, t, _ in rows) // 12)
+    out = fingerprint.op4(df, part_bytes=part).collect()
+    assert len(out) == len(rows)
+    order = sorted((x for x in rows if x[0] is not None), key=lambda x: -x[0])
+    by = {x.doc_id: x for x in out if x.doc_id is not None}
+    for (d, t, _), (_, nxt, _) in zip(order, order[1:], strict=False):
+        k = len(t) // 3
+        assert by[d].edited_sha256 == hashlib.sha256((t[: len(t) - k] + nxt[:k]).encode()).hexdigest()
+    texts = sorted(len(t) for d, t, _ in rows if d is None)
+    assert sorted(x.n_chars for x in out if x.doc_id is None) == texts
+    # every row with the hot id is followed by another one, by the last of them the first row of all
+    hot = [t for d, t, _ in rows if d is None]
+    after = [*hot, order[0][1]]
+    can = {hashlib.sha256((t[: len(t) - len(t) // 3] + o[: len(t) // 3]).encode()).hexdigest() for t in hot for o in after if o is not t}
+    assert all(x.edited_sha256 in can for x in out if x.doc_id is None)
+
+
 def test_op4_small(spark):
     assert fingerprint.op4(make(spark, [(1, "abc", "a")]).where("false")).count() == 0
     one = fingerprint.op4(make(spark, [(1, "abcdef", "a")])).collect()[0]
