@@ -212,7 +212,8 @@ class Ivf:
     """rows(ref_id, label, *cols, cluster_id), clusters(cluster_id, n, start, c*, lo*, hi*); share it with another n_probe by ``with_probe``.
 
     A block of queries and a cluster table of checked sizes are held against each other in numpy, and the block then visits
-    the partitions of the rows; more queries or clusters than that go by joins on cluster_id, with the same results."""
+    the partitions of the rows; more queries go by joins on cluster_id, with the same results, after each batch of them was
+    held against the clusters where it is. Only beyond CLUSTERS clusters are queries and clusters paired by a join."""
 
     rows: DataFrame
     clusters: DataFrame
@@ -232,9 +233,48 @@ class Ivf:
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
         self.clusters.write.mode("overwrite").parquet(f"{path}/clusters")
 
+    def _cluster_arrays(self) -> tuple[np.ndarray, pa.Table] | None:
+        """Cluster ids and their table, in order, if there are at most CLUSTERS, else None."""
+        c = self.clusters.limit(CLUSTERS + 1).toArrow()
+        return None if c.num_rows > CLUSTERS else (c.sort_by("cluster_id")["cluster_id"].to_numpy(), c.sort_by("cluster_id"))
+
     def probes(self, queries: DataFrame) -> DataFrame:
         """(query_id, cluster_id, probe) of each query's nearest clusters by centroid, capped by the cluster count and PROBES."""
-        return self._ranked(queries).where(F.col("probe") <= min(self.n_probe, PROBES))
+        n, got, cols = min(self.n_probe, PROBES), self._cluster_arrays(), self.cols
+        if got is None:
+            return self._ranked(queries).where(F.col("probe") <= n)
+        b = queries.sparkSession.sparkContext.broadcast((got[0], matrix([got[1][f"c_{x}"] for x in cols])))  # at most CLUSTERS
+
+        def run(batches):
+            ids, centroids = b.value
+            for x in batches:
+                places = near_clusters(matrix(x.columns[1:]), centroids, min(n, len(ids)))
+                wide = places.shape[1]
+                yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(np.repeat(np.arange(len(places)), wide))), pa.array(ids[places.ravel()].astype(np.int32)), pa.array(np.tile(np.arange(1, wide + 1, dtype=np.int32), len(places)))], ["query_id", "cluster_id", "probe"])
+
+        return map_arrow(queries.select(F.col("query_id").cast("long").alias("query_id"), *cols).dropna(), run, "query_id long, cluster_id int, probe int")
+
+    def _open(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, cluster_id) of the clusters whose box could hold something as near as the k-th so far. queries has found and r."""
+        got, cols = self._cluster_arrays(), self.cols
+        near = F.when(F.coalesce("found", F.lit(0)) < k, F.lit(float("inf"))).otherwise(F.col("r").cast("double"))
+        q = queries.select(F.col("query_id").cast("long").alias("query_id"), near.alias("r"), *cols)
+        if got is None:
+            c = self.clusters.select("cluster_id", *[f"lo_{x}" for x in cols], *[f"hi_{x}" for x in cols])
+            lb = box_bound([F.col(x) for x in cols], [F.col(f"lo_{x}") for x in cols], [F.col(f"hi_{x}") for x in cols])
+            return q.crossJoin(c).where(lb <= F.col("r")).select("query_id", "cluster_id")
+        b = queries.sparkSession.sparkContext.broadcast((got[0], *(matrix([got[1][f"{s}_{x}"] for x in cols]) for s in ("lo", "hi"))))  # at most CLUSTERS
+
+        def run(batches):
+            ids, lo, hi = b.value
+            step = max(1, knn.CELLS // max(1, len(ids)))
+            for whole in batches:
+                for a in range(0, whole.num_rows, step):
+                    x = whole.slice(a, step)
+                    r, c = np.nonzero(box_bounds(matrix(x.columns[2:]), lo, hi) <= x.column(1).to_numpy(zero_copy_only=False)[:, None])
+                    yield pa.RecordBatch.from_arrays([x.column(0).take(pa.array(r)), pa.array(ids[c].astype(np.int32))], ["query_id", "cluster_id"])
+
+        return map_arrow(q.dropna(), run, "query_id long, cluster_id int")
 
     def _ranked(self, queries: DataFrame) -> DataFrame:
         d = queries.crossJoin(self.clusters.select("cluster_id", *[f"c_{c}" for c in self.cols]))
@@ -244,10 +284,8 @@ class Ivf:
     def _small(self, queries: DataFrame) -> tuple | None:
         """(query ids, queries, cluster ids, cluster table) where both are within bounds, else None."""
         head = few(queries.dropna(subset=["query_id", *self.cols]), self.cols, self.block)
-        c = None if head is None else self.clusters.limit(CLUSTERS + 1).toArrow().sort_by("cluster_id")
-        if c is None or c.num_rows > CLUSTERS:
-            return None
-        return head["query_id"].cast("int64").to_numpy(), matrix([head[x] for x in self.cols]), c["cluster_id"].to_numpy(), c
+        c = None if head is None else self._cluster_arrays()
+        return None if c is None else (head["query_id"].cast("int64").to_numpy(), matrix([head[x] for x in self.cols]), *c)
 
     def _probed(self, small: tuple) -> tuple[np.ndarray, np.ndarray]:
         _, q, ids, c = small
@@ -303,10 +341,7 @@ class Ivf:
         probed = self.probes(queries)
         first = self._scan(probed, queries, k).drop("rank", "cluster_id")
         kth = first.groupBy("query_id").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("found"))
-        c = self.clusters.select("cluster_id", *[f"lo_{x}" for x in self.cols], *[f"hi_{x}" for x in self.cols])
-        q = queries.join(kth, "query_id", "left")
-        lb = box_bound([F.col(x) for x in self.cols], [F.col(f"lo_{x}") for x in self.cols], [F.col(f"hi_{x}") for x in self.cols])
-        open_ = q.crossJoin(c).where(F.col("found").isNull() | (F.col("found") < k) | (lb <= F.col("r"))).select("query_id", "cluster_id")
+        open_ = self._open(queries.join(kth, "query_id", "left"), k)
         rest = self._scan(open_.join(probed, ["query_id", "cluster_id"], "left_anti"), queries, k).drop("rank", "cluster_id")
         return best_per_query(first.unionByName(rest), k, ["dist", "ref_id"])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +31,32 @@ def numbered(df: DataFrame) -> DataFrame:
     return in_order(df, "ref_id")
 
 
-def gunzip_by_content(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of files that may be gzip whatever their name; a plain file passes through. One file is one task."""
+def gunzip_by_content(spark: SparkSession, path: str, block: int = 4 << 20) -> DataFrame:
+    """Text of files that may be gzip whatever their name; a plain file passes through. A JSON array comes as one text, anything
+    else in blocks of whole lines, about ``block`` bytes each, so that only one is held unpacked at a time."""
+
+    def pieces(content: bytes):
+        if content[:2] != b"\x1f\x8b":
+            yield from (content[a : a + block] for a in range(0, len(content), block))
+            return
+        with gzip.open(io.BytesIO(content)) as f:
+            while piece := f.read(block):
+                yield piece
 
     def lines(batches):
         for b in batches:
-            for content in b.column(0).to_pylist():
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                yield pa.RecordBatch.from_arrays([pa.array([data.decode("utf-8")])], ["value"])
+            for content in b.column(0):
+                held, array = b"", None
+                for piece in pieces(content.as_buffer().to_pybytes()):
+                    held += piece
+                    if array is None and held.strip():
+                        array = held.lstrip()[:1] == b"["
+                    end = held.rfind(b"\n") + 1
+                    if array is False and end:
+                        yield pa.RecordBatch.from_arrays([pa.array([held[:end].decode("utf-8")])], ["value"])
+                        held = held[end:]
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array([held.decode("utf-8")])], ["value"])
 
     return map_arrow(spark.read.format("binaryFile").load(path).select("content"), lines, "value string")
 

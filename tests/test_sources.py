@@ -109,6 +109,15 @@ def test_stream(spark, tmp_path):
     assert {r.id: r.approved for r in seen} == {"a": False, "b": False, None: None}
 
 
+def test_gzip_comes_in_blocks_of_lines(spark, tmp_path):
+    text = "\n".join(f"line {i} {'é' * (i % 50)}" for i in range(3000))
+    (tmp_path / "x").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "y").write_bytes(b" [1,\n2]")
+    got = [r.value for r in references.gunzip_by_content(spark, str(tmp_path / "x"), block=1000).collect()]
+    assert len(got) > 50 and "".join(got) == text and all(x.endswith("\n") for x in got[:-1])
+    assert [r.value for r in references.gunzip_by_content(spark, str(tmp_path / "y"), block=3).collect()] == [" [1,\n2]"]
+
+
 def test_tools_from_file_to_answer(spark, tmp_path, capsys):
     from tessera import tools
     from tessera.config import Settings
