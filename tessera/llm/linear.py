@@ -122,7 +122,10 @@ def training_rows(docs: DataFrame, ids: list[int], kinds: tuple[str, ...], most_
     total = np.cumsum([r.n for r in sizes])
     if len(total) and total[-1] > most_bytes:
         found = found.where(F.xxhash64("doc_id") < sizes[int(np.searchsorted(total, most_bytes, side="right"))].h)
-    return {r.doc_id: np.frombuffer(r.f, np.int32) for r in found.orderBy("doc_id", "f").toLocalIterator()}
+    out: dict[int, bytes] = {}
+    for r in found.toLocalIterator():  # a partition at a time
+        out[r.doc_id] = max(bytes(r.f), out.get(r.doc_id, b""))  # of texts under one id always the same
+    return {k: np.frombuffer(out[k], np.int32) for k in sorted(out)}
 
 
 def apply_linear(docs: DataFrame, weights: np.ndarray | None, bias: float, a: float, c: float, kinds: tuple[str, ...], norm: bool, default: float) -> DataFrame:

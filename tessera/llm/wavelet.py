@@ -62,9 +62,9 @@ class WaveletMatrix:
             each = [int(np.bitwise_count(planes[-1][a : a + BLOCK]).sum()) for a in range(0, len(planes[-1]), BLOCK)]
             ones.append(np.cumsum([0, *each])[: max(1, len(each))])
             m = one.view(bool)
-            low = v[~m]
+            low = np.compress(~m, v)
             zeros.append(len(low))
-            v = np.concatenate([low, v[m]])
+            v = np.concatenate([low, np.compress(m, v)])
         return cls(len(ids), zeros, ones, np.asarray(doc_ids, np.int64), np.asarray(counts, np.uint32), planes)
 
     def to_bytes(self) -> bytes:
@@ -145,8 +145,8 @@ class WaveletMatrix:
         for k in range(self.bits - 1, -1, -1):
             m = np.unpackbits(self.plane(k), count=self.n, bitorder="little").view(bool)
             up = np.empty_like(v)
-            up[~m] = v[: self.zeros[k]]
-            up[m] = v[self.zeros[k] :] | v.dtype.type(1 << (self.bits - 1 - k))
+            up[np.flatnonzero(~m)] = v[: self.zeros[k]]
+            up[np.flatnonzero(m)] = v[self.zeros[k] :] | v.dtype.type(1 << (self.bits - 1 - k))
             v = up
         return v
 
