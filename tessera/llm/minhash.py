@@ -144,11 +144,11 @@ def block_pairs(members: DataFrame, texts: DataFrame, words: int = 2, percent: i
     pair has a member outside the bucket's main component, so members too large or too small for any of those stay out, and blocks of about ``block`` of those meet blocks of all
     members; each two blocks are one group, and a sparse product over the shingles in both counts every intersection."""
     outside = F.col("component") != F.col("main")
-    span = members.where(outside).groupBy(F.col("bh").alias("s")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    span = _if_small(stored(members.where(outside).groupBy(F.col("bh").alias("s")).agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "spans"))
     fits = (F.col("bh") == F.col("s")) & (100 * F.col("n") >= percent * F.col("lo")) & (percent * F.col("n") <= 100 * F.col("hi"))
     members = stored(members.join(span, fits, "left_semi"), "blocks")
     size = members.groupBy("bh").agg(F.count(F.lit(1)).alias("n"), F.count_if(outside).alias("k"))
-    size = size.select(F.col("bh").alias("b"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("k") / block).cast("int").alias("lanes"))
+    size = _if_small(stored(size.select(F.col("bh").alias("b"), F.ceil(F.col("n") / block).cast("int").alias("blocks"), F.ceil(F.col("k") / block).cast("int").alias("lanes")), "sizes"))
     m = members.join(size, members.bh == size.b)
     place = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
@@ -198,6 +198,12 @@ def block_pairs(members: DataFrame, texts: DataFrame, words: int = 2, percent: i
     return rows.groupBy("bh", "x", "y").applyInArrow(group, "a long, b long")
 
 
+def _if_small(table: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stored table of a few numbers a row, to be broadcast where it has at most ``most`` rows, so that what it is joined to stays
+    where it is and no large bucket meets in one task; else to be joined as Spark sees fit."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rounds: int = 3, large: int = 64, seed: int = 11) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     slim = text_only(docs)
@@ -229,11 +235,11 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, star_rou
             tried = tried.unionByName(new)
             none = not new.limit(1).count()
         else:
-            rest = m.select("bh", "id", "n", "component", "size")
+            rest = stored(m.select("bh", "id", "n", "component", "size"), "open")
             part = rest.groupBy("bh", "component").agg(F.count(F.lit(1)).alias("c"))
             main = part.groupBy("bh").agg(F.max(F.struct("c", "component")).alias("m"))
-            main = main.select(F.col("bh").alias("b"), F.col("m.component").alias("main"))
-            rest = stored(rest.join(main, rest.bh == main.b).drop("b"), "open")
+            main = stored(main.select(F.col("bh").alias("b"), F.col("m.component").alias("main")), "main")
+            rest = stored(rest.join(_if_small(main), rest.bh == main.b).drop("b"), "open-by-main")
             few, big = rest.where(F.col("size") <= large), rest.where(F.col("size") > large)
             cells = live.select(F.col("doc_id").alias("of"), "bits")
             few = few.join(cells, few.id == cells.of)

@@ -96,3 +96,12 @@ def test_occupancy_bound_keeps_every_link(spark):
         if 100 * both >= 80 * (n + m - both):
             links.add((i, j))
     assert links and links <= kept and len(kept) < len(rows) / 2
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_stage_keeps_columns_of_any_name(spark, twice):
+    rows = [(i, f"one two three four five six {i // 2} seven eight nine ten", 1, 2, "x", 4) for i in range(8)] + [(7, "other words altogether", 1, 2, "x", 4)] * twice
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int, gone int, _row string, row int")
+    out = minhash.stage(df)
+    assert out.columns == df.columns
+    assert {(r._gone, r.gone, r._row, r.row) for r in out.collect()} == {(1, 2, "x", 4)} and out.count() == 4 + twice
