@@ -88,7 +88,7 @@ def features(b: np.ndarray, off: np.ndarray, kinds: tuple[str, ...]) -> list[tup
 
 def indicators(b: np.ndarray, off: np.ndarray, kinds: tuple[str, ...]):
     """Each row's distinct buckets, in turn."""
-    for i, j in chunks(off, 1 << 19):
+    for i, j in chunks(off, 1 << 17):  # arrays that stay in the processor's cache
         fam = []
         for r, k in features(b[off[i] : off[j]], off[i : j + 1] - off[i], kinds):
             o = np.searchsorted(r, np.arange(j - i + 1))

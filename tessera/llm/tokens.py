@@ -150,7 +150,7 @@ class Encoder:
     def encode(self, b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their offsets by row, for any rows."""
         parts, counts = [], []
-        for i, j in chunks(off, 1 << 20):
+        for i, j in chunks(off, 1 << 17):  # arrays that stay in the processor's cache
             ids, n = self._encode(b[off[i] : off[j]], off[i : j + 1] - off[i])
             parts.append(ids)
             counts.append(n)
