@@ -108,7 +108,8 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = 2, percent: int = 80
     """The pairs(id, hub) whose full sets reach the similarity. Members travel to their hub in salted groups of about
     ``per_task``; a task streams them and holds one hub set."""
     many = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).select(F.col("hub").alias("h"), F.ceil(F.col("n") / per_task).cast("int").alias("parts"))
-    p = pairs.join(many, pairs.hub == many.h).select("id", "hub", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    hot = _if_small(stored(many.where("parts > 1").select(F.col("h").alias("of"), F.col("parts").alias("lanes")), "hot-hubs"))  # one row for per_task pairs at least
+    p = pairs.join(hot, pairs.hub == hot.of, "left").select("id", "hub", F.pmod(F.xxhash64("id"), F.coalesce("lanes", F.lit(1))).cast("int").alias("part"))
     t = texts.select(F.col("doc_id").alias("d"), "text")
     members = p.join(t, p.id == t.d).select("hub", "part", F.lit(1).alias("role"), "id", "text")
     hubs = many.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(t, F.col("h") == F.col("d")).select(F.col("h").alias("hub"), "part", F.lit(0).alias("role"), F.col("h").alias("id"), "text")
