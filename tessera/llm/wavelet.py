@@ -210,7 +210,7 @@ class WaveletMatrix:
         return out
 
 
-def write_shards(docs: DataFrame, path: str | None = None, shard_bytes: int = 16 << 20, end_id: int = END_ID) -> DataFrame:
+def write_shards(docs: DataFrame, path: str | None = None, shard_bytes: int = 8 << 20, end_id: int = END_ID) -> DataFrame:
     """Encodes and writes ``docs`` in ascending id order; returns the shard table as read back. About ``shard_bytes`` of
     text make a shard, which one task holds in memory."""
     src = text_only(docs)
