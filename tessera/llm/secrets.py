@@ -54,7 +54,7 @@ PLUS = re.compile(rb"[ \t]*+(?:\\?\r?\n[ \t]*+)?\+[ \t]*+(?:\\?\r?\n[ \t]*+)?(?=
 BESIDE = re.compile(rb"(?:[ \t]++|\\?\r?\n)*+(?=[\"'])")
 BLOCK = re.compile(rb"[ \t]*+[|>][0-9+-]*+[ \t]*+(?:\#[^\n]*+)?\r?\n")
 LINE = re.compile(rb"[^\n]*+\n?")
-TYPE = re.compile(rb"[ \t]*+&?[A-Za-z_][A-Za-z0-9_.\[\]]*+[ \t]*+=(?![=>])")
+TYPE = re.compile(rb"[ \t]*+&?[A-Za-z_][A-Za-z0-9_.\[\]]*+[ \t]++=(?![=>])")  # with a blank before the sign: padding has none
 CHAIN = re.compile(rb"[ \t]*+(?:=(?!=)|:=)")
 HEAD = 64
 IDENT = re.compile(_NAME + rb"\Z")

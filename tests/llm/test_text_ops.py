@@ -203,6 +203,7 @@ def test_no_literal_is_cut():
         ('db_pwd = ("Zk93h"\n   "qLw8sQ")', ["Zk93h", "qLw8sQ"]),
         ('db_pwd = os.getenv("DB_PASSWORD")', []),
         ("a = b\nb = a\ndb_pwd = a", []),
+        ("client_credential: Zm9vYmFyMTIz=", ["Zm9vYmFyMTIz="]),
         ('client_signing = "Zx9Qw7Kp2Lm4"', ["Zx9Qw7Kp2Lm4"]),
     ],
 )
