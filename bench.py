@@ -17,7 +17,7 @@ NAMES = ("flagship_score", "features_vector", "knn_grid", "kmeans_build", "ivf_e
 
 def main() -> None:
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.driver.memory", "16g").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     took = {}
     QUERIES["features_vector"](spark, sf).limit(1000).write.format("noop").mode("overwrite").save()  # starts executors and Python workers; not counted

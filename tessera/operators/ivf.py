@@ -9,6 +9,7 @@ too, so the answer equals the exhaustive one, ties included, for any clustering.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,15 @@ PROBES = 512  # no query probes more clusters than this
 CLUSTERS = 1 << 16  # cluster tables up to this size are held against a block of queries in one place
 
 
+class VectorIndex(Protocol):
+    """What every index offers: its name, and the k nearest references of queries(query_id, *cols) as (query_id, ref_id, label,
+    dist, rank)."""
+
+    name: str
+
+    def search(self, queries: DataFrame, k: int = 5) -> DataFrame: ...
+
+
 def _matrix(batch, first: int, n: int) -> np.ndarray:
     return np.column_stack([batch.column(first + i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(n)])
 
@@ -470,7 +480,7 @@ class BruteForce:
         return knn.nearest(queries, self.refs, self.cols, self.cols, k, knn.kernel(self.metric), "double")
 
 
-def make_index(name: str, refs: DataFrame | None, cols: list[str], metric: str = "EUCLIDEAN", clusters_path: str | None = None, vectors_path: str | None = None, stop_early: bool = False, **options):
+def make_index(name: str, refs: DataFrame | None, cols: list[str], metric: str = "EUCLIDEAN", clusters_path: str | None = None, vectors_path: str | None = None, stop_early: bool = False, **options) -> VectorIndex:
     """BRUTE_FORCE (any metric), IVF, or IVF_Q16 (from its two files, else an error); an unknown name is an error."""
     key = (name or "").strip().upper()
     if key == "BRUTE_FORCE":
@@ -484,7 +494,7 @@ def make_index(name: str, refs: DataFrame | None, cols: list[str], metric: str =
     raise ValueError(f"unknown index: {name}")
 
 
-def index_from(settings: Settings, refs: DataFrame | None, cols: list[str], clusters_path: str | None = None, vectors_path: str | None = None):
+def index_from(settings: Settings, refs: DataFrame | None, cols: list[str], clusters_path: str | None = None, vectors_path: str | None = None) -> VectorIndex:
     """The index that the settings name, with their metric, probes and build parameters."""
     s = settings
     if s.index.strip().upper() == "IVF":
