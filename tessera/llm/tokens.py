@@ -15,7 +15,7 @@ import numpy as np
 from tessera.llm.text import chunks, span_hashes
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE_LIMIT = 1_000_000
+CACHE_LIMIT = 1_200_000
 
 
 def vocabulary_path() -> str:
@@ -81,10 +81,10 @@ class Encoder:
         return out
 
     def _insert(self, h: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        if (self.used + len(h)) * 2 > self.size:
+        if (self.used + len(h)) * 3 > self.size:
             old = self.key != 0
             keep = self.key[old], self.at[old], self.n[old]
-            while (self.used + len(h)) * 2 > self.size:
+            while (self.used + len(h)) * 3 > self.size:
                 self.size *= 2
             self.key, self.at, self.n = np.zeros(self.size, np.uint64), np.zeros(self.size, np.int64), np.zeros(self.size, np.int32)
             self._place(*keep)
