@@ -14,7 +14,7 @@ from tessera.functions import scalar as S
 from tessera.operators import evaluate as ev
 from tessera.operators import ivf as iv
 from tessera.operators.features import GRID_COLUMNS as G
-from tessera.operators.features import parse_requests, to_grid, vectorize
+from tessera.operators.features import parse_requests, vectorize
 from tessera.operators.knn import knn_grid, knn_join, matrix
 from tessera.operators.quantize import quantize
 from tessera.operators.score import decide, fraud_count, respond
@@ -281,10 +281,9 @@ def score_requests(spark, d):
     from tessera.config import Settings
     from tessera.streaming.score_stream import score_batch
 
-    t = stored(transactions(spark, d), "tx")
-    js = t.where(F.col("event_id") % 200 == 0).select(F.to_json(F.struct(*[c for c in t.columns if c not in ("event_id", "label")])).alias("value"))
-    refs = to_grid(vectorize(t.where(F.col("event_id") % 200 != 0), risk_table(spark), SCALES), [F.col("event_id").alias("ref_id"), "label"])
-    index = iv.build_ivf(refs, G, n_centroids=64, iters=4)
+    t = transactions(spark, d).where(F.col("event_id") % 200 == 0)
+    js = t.select(F.to_json(F.struct(*[c for c in t.columns if c not in ("event_id", "label")])).alias("value"))
+    index, _ = _index(spark, d)
     s = Settings(scales={**Settings().scales, **SCALES})
     return score_batch(js, index, risk_table(spark), s).select(F.col("id").cast("bigint").alias("query_id"), "fraud_score", "approved", "response")
 
